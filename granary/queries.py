@@ -1,0 +1,41 @@
+"""Queries over the project's tables, one for each operator of the library's core, and their SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from granary.operators import diff as table_diff
+from granary.session import read
+
+CHUNK_FIELDS = ["doc_id", "source_file", "doc_chunk_index", "char_start", "char_end", "content_module_id", "text", "metadata"]
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return table_diff.diff(
+        read(spark, folder, "chunks"), read(spark, folder, "backend_chunks"), "chunk_id", CHUNK_FIELDS,
+        right_version="received_at", json_fields={"metadata": ["document_filepath"]}, names=("only_in_chunks", "only_in_backend"),
+    )
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found}
+
+
+def _entries(column: str) -> str:
+    pairs = f"list_transform(json_keys({column}), lambda k: k || '=' || ({column} -> ('$.\"' || k || '\"'))::VARCHAR)"
+    return f"list_sort(list_filter({pairs}, lambda x: NOT starts_with(x, 'document_filepath=')))"
+
+
+def _p2() -> str:
+    plain = [f for f in CHUNK_FIELDS if f != "metadata"]
+    tests = [f"CASE WHEN c.{f} IS DISTINCT FROM b.{f} THEN '{f}' END" for f in plain]
+    tests.append(f"CASE WHEN {_entries('c.metadata')} IS DISTINCT FROM {_entries('b.metadata')} THEN 'metadata' END")
+    return f"""
+WITH b AS (SELECT * FROM backend_chunks QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY received_at DESC NULLS LAST) = 1)
+SELECT coalesce(c.chunk_id, b.chunk_id) AS chunk_id, unnest(CASE WHEN b.chunk_id IS NULL THEN ['only_in_chunks'] WHEN c.chunk_id IS NULL THEN ['only_in_backend']
+  ELSE list_filter([{", ".join(tests)}], lambda x: x IS NOT NULL) END) AS difference
+FROM chunks c FULL OUTER JOIN b ON c.chunk_id = b.chunk_id"""
+
+
+SQL: dict[str, str] = {"p2_found": _p2()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import layout_copies, splitting, term_counts
+from granary.llm import layout_copies, personal_data, splitting, term_counts
 from granary.session import read
 
 
@@ -43,6 +43,18 @@ def p4_phrases(spark: SparkSession, folder: str) -> DataFrame:
     return grams.where("n = 2").select(F.col("gram").alias("phrase"), "occurrences", "records")
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data.found_mentions(read(spark, folder, "documents"), read(spark, folder, "name_list"))
+
+
+def p8_replaced(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data.replace(read(spark, folder, "documents"), read(spark, folder, "name_list"))
+
+
+def p8_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data.replace(read(spark, folder, "documents"), read(spark, folder, "name_list"), style="surrogate")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_kept": p1_kept,
@@ -51,6 +63,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_terms": p4_terms,
     "p4_phrases": p4_phrases,
+    "p8_found": p8_found,
+    "p8_replaced": p8_replaced,
+    "p8_surrogates": p8_surrogates,
 }
 
 _WORDS = r"regexp_extract_all(lower(nfc_normalize({0})), '[\p{{L}}\p{{N}}]+')"

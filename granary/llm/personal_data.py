@@ -273,7 +273,8 @@ def _number(text: str, start: int, end: int, add) -> None:
             if m:
                 digits = re.sub(r"\D", "", m[0])
                 abroad = m[0].startswith(("+", "(+", "00"))
-                if (10 if abroad else 9) <= len(digits) <= (15 if abroad else 12):
+                least = 12 if m[0].startswith("00") else 11 if abroad else 9
+                if least <= len(digits) <= (15 if abroad else 12):
                     add("phone", m.start(), m.end(), digits)
                     at, found = m.end(), True
                     break

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import layout_copies, personal_data, splitting, term_counts
+from granary.llm import layout_copies, neighbours, personal_data, splitting, term_counts
 from granary.session import read
 
 
@@ -43,6 +43,15 @@ def p4_phrases(spark: SparkSession, folder: str) -> DataFrame:
     return grams.where("n = 2").select(F.col("gram").alias("phrase"), "occurrences", "records")
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.mutual_pairs(neighbours.nearest(read(spark, folder, "chunk_vectors")), 0.90)
+
+
+def p5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    near = neighbours.nearest(read(spark, folder, "chunk_vectors"))
+    return near.select(F.col("id").alias("chunk_id"), "neighbour", F.round("similarity", 6).alias("similarity"), "rank")
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return personal_data.found_mentions(read(spark, folder, "documents"), read(spark, folder, "name_list"))
 
@@ -63,6 +72,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_terms": p4_terms,
     "p4_phrases": p4_phrases,
+    "p5_found": p5_found,
+    "p5_neighbours": p5_neighbours,
     "p8_found": p8_found,
     "p8_replaced": p8_replaced,
     "p8_surrogates": p8_surrogates,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import layout_copies, neighbours, personal_data, splitting, term_counts
+from granary.llm import layout_copies, mixing, neighbours, packing, personal_data, splitting, term_counts
 from granary.session import read
 
 
@@ -52,6 +52,24 @@ def p5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return near.select(F.col("id").alias("chunk_id"), "neighbour", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+def p6_packed(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(read(spark, folder, "documents"), read(spark, folder, "pack_capacities"))
+
+
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    capacities = read(spark, folder, "pack_capacities")
+    return packing.fill_report(packing.pack(read(spark, folder, "documents"), capacities), capacities)
+
+
+def p7_mixed(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.ordered_mix(mixing.mix(mixing.queue(read(spark, folder, "documents")), read(spark, folder, "mix_targets")))
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    targets = read(spark, folder, "mix_targets")
+    return mixing.shares(mixing.mix(mixing.queue(read(spark, folder, "documents")), targets), targets)
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return personal_data.found_mentions(read(spark, folder, "documents"), read(spark, folder, "name_list"))
 
@@ -74,6 +92,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_phrases": p4_phrases,
     "p5_found": p5_found,
     "p5_neighbours": p5_neighbours,
+    "p6_packed": p6_packed,
+    "p6_fill": p6_fill,
+    "p7_mixed": p7_mixed,
+    "p7_shares": p7_shares,
     "p8_found": p8_found,
     "p8_replaced": p8_replaced,
     "p8_surrogates": p8_surrogates,

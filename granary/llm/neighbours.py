@@ -187,11 +187,11 @@ def nearest(
     ``probes`` a query searches 2 + log2(shards) shards, as routing gets harder with their number.
     """
     v = F.col("v")
-    usable = df.where(df[id_col].isNotNull()).select(df[id_col].cast("string").alias("id"), df[vector_col].cast("array<double>").alias("v"))
+    usable = df.where(df[id_col].isNotNull()).select(df[id_col].cast("string").alias("id"), df[vector_col].cast("array<float>").alias("v"))
     usable = usable.where((F.size(v) == dimension) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e30)) & F.exists(v, lambda x: x != 0))
     usable = usable.groupBy("id").agg(F.min("v").alias("v"))
     # Of each group of identical vectors at most k + 1 ids are ever neighbours; the limit applies before the shuffle.
-    usable = materialize(usable.withColumn("group", F.sha2(F.concat_ws(",", v.cast("array<string>")), 256)), "vectors")
+    usable = materialize(usable.withColumn("group", F.unhex(F.md5(F.concat_ws(",", v.cast("array<string>"))))), "vectors")
     ranked = usable.withColumn("n", F.row_number().over(Window.partitionBy("group").orderBy("id"))).where(F.col("n") <= k + 1)
     nodes = ranked.groupBy("group").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.first("v").alias("v"))
     nodes = materialize(nodes, "vector-nodes")
@@ -213,7 +213,7 @@ def nearest(
                 continue
             scores = _unit(b["v"]) @ centroids.T
             best = np.argsort(-scores, 1)[:, :probes]
-            spot = b["group"].str.slice(0, 8).map(lambda h: int(h, 16)).to_numpy()
+            spot = b["group"].map(lambda h: int.from_bytes(h[:4], "big")).to_numpy()
             for j in range(best.shape[1]):
                 cell = best[:, j]
                 for part in range(int(parts[cell].max())):
@@ -250,9 +250,8 @@ def nearest(
                     left -= len(member_ids[node])
         return pd.DataFrame(out, columns=columns)
 
-    routed = nodes.mapInPandas(route, "cell int, member boolean, group string, ids array<string>, v array<double>")
-    routed = routed.withColumn("v", F.col("v").cast("array<float>"))
-    links = routed.groupBy("cell").applyInPandas(answer, "group string, neighbour string, similarity double")
+    routed = nodes.mapInPandas(route, "cell int, member boolean, group binary, ids array<string>, v array<float>")
+    links = routed.groupBy("cell").applyInPandas(answer, "group binary, neighbour string, similarity double")
     best = links.groupBy("group", "neighbour").agg(F.max("similarity").alias("similarity"))
     order = F.struct((-F.round("similarity", 9)).alias("o"), F.col("neighbour"), F.col("similarity"))
     # At most probes * k candidates a group, however many vectors it stands for.

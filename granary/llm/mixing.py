@@ -70,7 +70,8 @@ def _budgets(queued: DataFrame, targets: DataFrame, budget: int | None) -> DataF
     done = F.sum(F.coalesce("most", F.lit(0.0)) * F.col("target_share")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     running = F.sum(F.when(F.col("most").isNotNull(), F.col("target_share")).otherwise(0.0)).over(order.rowsBetween(0, Window.unboundedFollowing))
     at = (F.lit(float(budget)) - F.coalesce(done, F.lit(0.0))) / running
-    reached = F.when(F.col("most").isNotNull() & (at <= F.col("most")), at)
+    before = F.coalesce(F.lag("most").over(order), F.lit(0.0))
+    reached = F.when(F.col("most").isNotNull() & (at <= F.col("most")) & (at >= before), at)
     steps = steps.withColumn("reached", reached)
     ends = F.coalesce(F.min("reached").over(mix), F.max("most").over(mix))
     return steps.withColumn("ends", ends).drop("most", "reached")

@@ -193,6 +193,8 @@ def pack_sizes(sizes: DataFrame, capacities: DataFrame, max_capacities: int = 10
     if len(listed) > max_capacities:
         raise ValueError(f"more than {max_capacities} capacities")
     kind = dict(capacities.dtypes)["capacity_id"]
+    if not listed:
+        return sizes.sparkSession.createDataFrame([], f"capacity_id {kind}, id {dict(sizes.dtypes)['id']}, piece int, tokens int, container_id long")
     caps = F.array(*[F.struct(F.lit(r[0]).cast(kind).alias("capacity_id"), F.lit(r[1]).cast("long").alias("cap")) for r in listed])
     items = sizes.select("id", F.col("tokens").alias("size"), F.explode(caps).alias("c")).select("id", "size", "c.capacity_id", "c.cap")
     whole = F.floor(F.col("size") / F.col("cap"))

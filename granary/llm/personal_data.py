@@ -20,6 +20,7 @@ from hashlib import blake2b
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from granary.session import materialize
 
@@ -388,7 +389,7 @@ def _cased(word: str, like: str) -> str:
     return word.upper() if like.isupper() and len(like) > 1 else word.lower() if like.islower() else word
 
 
-def entity_table(found: DataFrame, key: str, rounds: int = 8) -> DataFrame:
+def entity_table(found: DataFrame, key: str, rounds: int = 8, invent=entity_surrogate) -> DataFrame:
     """``(kind, canonical, surrogate)``: one surrogate per entity, no two entities of a kind sharing one.
 
     Every round finds, over all entities, the surrogates that several got; the smallest
@@ -399,7 +400,7 @@ def entity_table(found: DataFrame, key: str, rounds: int = 8) -> DataFrame:
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b["surrogate"] = [entity_surrogate(k, c, secret, a) for k, c, a in zip(b["kind"], b["canonical"], b["attempt"])]
+            b["surrogate"] = [invent(k, c, secret, a) for k, c, a in zip(b["kind"], b["canonical"], b["attempt"])]
             yield b
 
     schema = "kind string, canonical string, attempt int, surrogate string"
@@ -412,7 +413,8 @@ def entity_table(found: DataFrame, key: str, rounds: int = 8) -> DataFrame:
         if clash.isEmpty():
             return entities.drop("attempt")
         entities = materialize(entities.join(clash.select("kind", "canonical"), ["kind", "canonical"], "left_anti").unionByName(clash), "surrogates")
-    return entities.drop("attempt")
+    rank = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("canonical"))
+    return entities.select("kind", "canonical", F.concat("surrogate", F.when(rank > 1, rank.cast("string")).otherwise(F.lit(""))).alias("surrogate"))
 
 
 def replace(docs: DataFrame, name_list: DataFrame, key: str = "granary", style: str = "placeholder", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

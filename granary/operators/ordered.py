@@ -63,6 +63,6 @@ def following(rows: DataFrame, columns: list[str], doc: str = "doc_id", index: s
     inside = Window.partitionBy(doc, "__block").orderBy(*order(index, id_col))
     value = F.struct(*columns)
     firsts = rows.groupBy(doc, "__block").agg(F.min_by(value, _key(index, id_col)).alias("first"))
-    firsts = firsts.select(doc, "__block", F.lead("first").over(Window.partitionBy(doc).orderBy("__block")).alias("after"))
+    firsts = firsts.select(doc, "__block", F.lead("first").over(Window.partitionBy(doc).orderBy("__block")).alias("__after"))
     out = rows.withColumn("__next", F.lead(value).over(inside)).join(firsts, [doc, "__block"])
-    return out.select("*", *[F.coalesce(F.col("__next")[c], F.col("after")[c]).alias(f"next_{c}") for c in columns]).drop("__next", "after", "__block")
+    return out.select("*", *[F.coalesce("__next", "__after")[c].alias(f"next_{c}") for c in columns]).drop("__next", "__after", "__block")

@@ -414,7 +414,7 @@ def entity_table(found: DataFrame, key: str, rounds: int = 8, invent=entity_surr
             return entities.drop("attempt")
         entities = materialize(entities.join(clash.select("kind", "canonical"), ["kind", "canonical"], "left_anti").unionByName(clash), "surrogates")
     rank = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("canonical"))
-    return entities.select("kind", "canonical", F.concat("surrogate", F.when(rank > 1, rank.cast("string")).otherwise(F.lit(""))).alias("surrogate"))
+    return entities.select("kind", "canonical", F.concat("surrogate", F.when(rank > 1, F.concat(F.lit("-"), rank.cast("string"))).otherwise(F.lit(""))).alias("surrogate"))
 
 
 def replace(docs: DataFrame, name_list: DataFrame, key: str = "granary", style: str = "placeholder", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

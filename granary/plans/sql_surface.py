@@ -114,7 +114,11 @@ class SqlSurface:
         return self.session.sql(check(self.session, statement))
 
     def run(self, statement: str, limit: int | None = None, seconds: float = SECONDS) -> SqlResult:
-        """At most ``limit`` rows (500 without one, also an upper bound) within ``seconds``; long cells are shortened and binary ones described."""
+        """At most ``limit`` rows (500 without one, also an upper bound) within ``seconds``; long cells are shortened and binary ones described.
+
+        At the time limit the jobs are cancelled. A task inside an operator that does not look for
+        cancellation ends only with it; clusters bound that by ``spark.task.reaper.enabled``.
+        """
         cap = ROW_CAP if limit is None else max(0, min(limit, ROW_CAP))
         df = self.frame(statement)
         context, group = self.outer.sparkContext, f"sql-{uuid.uuid4().hex}"

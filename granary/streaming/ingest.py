@@ -38,13 +38,18 @@ def ingest(docs: DataFrame, out: str, checkpoint: str, size: int = 1000, overlap
     return docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _timed(events: DataFrame, time_col: str) -> DataFrame:
+    """Watermarks need instants: times without a zone are read in the session's."""
+    return events.withColumn(time_col, F.col(time_col).cast("timestamp"))
+
+
 def windowed_counts(events: DataFrame, time_col: str, by: str, width: str = "1 hour", late: str = "1 day") -> DataFrame:
     """``(start, <by>, n)`` per tumbling window of event time; rows later than ``late`` behind the newest are not waited for."""
-    grouped = events.withWatermark(time_col, late).groupBy(F.window(time_col, width), by)
+    grouped = _timed(events, time_col).withWatermark(time_col, late).groupBy(F.window(time_col, width), by)
     return grouped.agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), by, "n")
 
 
 def sessions(events: DataFrame, time_col: str, by: str, gap: str = "30 minutes", late: str = "1 day") -> DataFrame:
     """``(start, end, <by>, n)``: runs of events no further apart than ``gap``."""
-    grouped = events.withWatermark(time_col, late).groupBy(F.session_window(time_col, gap), by)
+    grouped = _timed(events, time_col).withWatermark(time_col, late).groupBy(F.session_window(time_col, gap), by)
     return grouped.agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), by, "n")

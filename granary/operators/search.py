@@ -15,6 +15,7 @@ from granary.functions import text as tx
 from granary.operators import copies as cp
 from granary.operators import filters, ordered
 from granary.operators import postings as ps
+from granary.session import materialize
 
 #: What a scope filter may name, and its type.
 SCOPE_FIELDS = {
@@ -118,12 +119,11 @@ class SearchIndex:
 
     @classmethod
     def over(cls, chunks: DataFrame, scope: dict | None = None) -> SearchIndex:
-        """An index that is not written: only what a lookup needs is computed, when it needs it."""
+        """An index for this session: rows and postings are written to the shared folder once, copies are not computed."""
         rows = index_rows(chunks)
-        posts = ps.postings(rows)
-        if "copy_rep" not in rows.columns:
-            rows = rows.withColumn("copy_rep", F.col("chunk_id"))
-        sizes = ps.lengths(posts)
+        rows = materialize(rows.withColumn("copy_rep", F.col("chunk_id")), "index-rows")
+        posts = materialize(ps.postings(rows).repartitionByRange("token", "chunk_id").sortWithinPartitions("token"), "index-postings")
+        sizes = materialize(ps.lengths(posts), "index-sizes")
         total = sizes.agg(F.count("*"), F.avg("size")).first()
         return cls({"chunks": rows, "postings": posts, "sizes": sizes}, total[0], total[1] or 0.0, filters.validate(scope))
 

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import argparse
 import json
-import os
 import sys
 
 from granary import session
-from granary.sources import connectors, dataset, files
+from granary.sources import connectors, dataset, datasets_dir, files
 
 
 def parser() -> argparse.ArgumentParser:
@@ -35,7 +34,13 @@ def parser() -> argparse.ArgumentParser:
             x.add_argument("--no-record", action="store_true")
     for name in ("audits", "verify"):
         d.add_parser(name).add_argument("--dataset", required=True)
-    d.add_parser("list").add_argument("--dir", default=os.environ.get("GRANARY_DATASETS", "datasets"))
+    d.add_parser("list").add_argument("--dir")
+    x = sub.add_parser("datasets-dir")
+    x.add_argument("--set"), x.add_argument("--unset", action="store_true"), x.add_argument("--json", action="store_true")
+    x = sub.add_parser("validate", help="conformance of a backend")
+    x.add_argument("--connector", default="table"), x.add_argument("--params", type=json.loads, default={}), x.add_argument("--vector", type=json.loads, required=True), x.add_argument("--top-k", type=int, default=5)
+    x = sub.add_parser("provision", help="build a table store from a dataset")
+    x.add_argument("--dataset", required=True), x.add_argument("--store", required=True), x.add_argument("--embedder", required=True, help="module:function"), x.add_argument("--append", action="store_true")
     i = sub.add_parser("index").add_subparsers(dest="what", required=True)
     i.add_parser("prepare").add_argument("--dataset", required=True)
     i.add_parser("status").add_argument("--dataset", required=True)
@@ -73,17 +78,32 @@ def run(a: argparse.Namespace) -> int:
         for s in connectors.specs().values():
             print(json.dumps(s.public()))
         return 0
+    if a.verb == "datasets-dir":
+        if a.set or a.unset:
+            datasets_dir.set_dir(a.set)
+        path, why = datasets_dir.resolve()
+        print(json.dumps({"path": str(path), "source": why}) if a.json else path)
+        return 0
     if a.verb == "dataset" and a.what == "list":
-        for name in sorted(os.listdir(a.dir)) if os.path.isdir(a.dir) else []:
-            path = f"{a.dir}/{name}/dataset.json"
-            if os.path.exists(path):
-                with open(path, encoding="utf-8") as f:
-                    m = json.load(f)
-                print(name, m["dataset_id"], m["chunk_count"])
+        for e in datasets_dir.entries(a.dir):
+            print(e["folder"], e["dataset_id"] or "-", e["chunk_count"] if e["problem"] is None else e["problem"])
         return 0
     spark = session.local_session(a.cores)
     if a.verb == "dataset":
         return _dataset(spark, a)
+    if a.verb == "validate":
+        from granary.operators import checks
+
+        queries = spark.createDataFrame([("probe", [float(v) for v in a.vector])], "query_id string, vector array<double>")
+        report = checks.validate_connector(connectors.connect(spark, a.connector, a.params), queries, a.top_k, a.params)
+        show(report.orderBy("n"), False)
+        return 0 if checks.ready(report) else 2
+    if a.verb == "provision":
+        from importlib import import_module
+
+        module, _, name = a.embedder.partition(":")
+        print(connectors.provision(dataset.read(spark, a.dataset).chunks, a.store, getattr(import_module(module), name), a.append).count())
+        return 0
     from granary.operators import book, search
     from granary.plans.sql_surface import SqlSurface
 

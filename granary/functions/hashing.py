@@ -28,25 +28,45 @@ def inventory_lines(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.concat("chunk_id", F.lit("\t"), F.sha2("text", 256), F.lit("\n")).alias("line"))
 
 
-def chunk_inventory_sha256(chunks: DataFrame) -> str:
-    """Hash of all lines in order of id. Rows stream to the driver in order; none are kept."""
+#: Up to this many rows an identity over all rows in order is one running hash; beyond, a tree of hashes.
+MOST_LINES = 5_000_000
+TREE_BITS = 16
+
+
+def _running(lines: DataFrame, key: str) -> str:
+    """Hash of all lines in order of ``key``. Rows stream to the driver in order; none are kept."""
     hashed = hashlib.sha256()
-    for row in inventory_lines(chunks).orderBy("chunk_id").select("line").toLocalIterator(prefetchPartitions=True):
+    for row in lines.orderBy(key, "line").select("line").toLocalIterator(prefetchPartitions=True):
         hashed.update(row[0].encode())
     return hashed.hexdigest()
 
 
+def _tree(lines: DataFrame, key: str) -> str:
+    """Hash of the hashes of 65,536 ranges of the key's hash, each over its lines in order: all but the last step is distributed."""
+    digits = TREE_BITS // 4
+    part = F.substring(F.sha2(key, 256), 1, digits)
+    order = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), "line")))
+    parts = lines.groupBy(part.alias("part")).agg(F.sha2(F.array_join(F.transform(order, lambda x: x["line"]), ""), 256).alias("h"))
+    return hashlib.sha256("".join(f"{p}\t{h}\n" for p, h in sorted(map(tuple, parts.collect()))).encode()).hexdigest()
+
+
+def inventory_method(rows: int) -> str:
+    return "lines" if rows <= MOST_LINES else "tree"
+
+
+def chunk_inventory_sha256(chunks: DataFrame, method: str = "lines") -> str:
+    """Identity of ids and texts. ``lines``: the hash of all lines in order of id; ``tree``: the form for any size."""
+    return (_running if method == "lines" else _tree)(inventory_lines(chunks), "chunk_id")
+
+
 def dataset_id(inventory: str) -> str:
     return f"ds-{inventory[:16]}"
 
 
-def corpus_fingerprint(sources: DataFrame) -> str:
-    """Hash over the sources in order of identity."""
-    hashed = hashlib.sha256()
+def corpus_fingerprint(sources: DataFrame, method: str = "lines") -> str:
+    """Identity of the sources, from their paths, types and fingerprints in order of identity."""
     part = F.concat_ws("\0", F.col("relative_path"), F.col("file_type"), F.coalesce("source_fingerprint", F.lit("")))
-    for row in sources.select("source_identity", part.alias("part")).orderBy("source_identity", "part").toLocalIterator():
-        hashed.update(row[1].encode() + b"\0")
-    return hashed.hexdigest()
+    return (_running if method == "lines" else _tree)(sources.select("source_identity", F.concat(part, F.lit("\0")).alias("line")), "source_identity")
 
 
 def content_fingerprint(chunks: DataFrame) -> str:

@@ -33,9 +33,9 @@ def match(dataset: DataFrame, backend: DataFrame) -> DataFrame:
     By id first; then what is left by text, where a text is left once on either side. Texts
     left several times are ambiguous, and their backend copies count as spoken for.
     """
-    columns = ["chunk_id", "text", "metadata", *FIELDS]
-    a = dataset.select(*columns).select(F.struct(*columns).alias("a"), F.col("chunk_id").alias("ka"), F.sha2("text", 256).alias("sha"))
-    b = backend.select(*columns).select(F.struct(*columns).alias("b"), F.col("chunk_id").alias("kb"), F.sha2("text", 256).alias("shb"))
+    columns = ["chunk_id", "metadata", *FIELDS]  # of texts only their hashes travel
+    a = dataset.select(F.struct(*columns).alias("a"), F.col("chunk_id").alias("ka"), F.sha2("text", 256).alias("sha"))
+    b = backend.select(F.struct(*columns).alias("b"), F.col("chunk_id").alias("kb"), F.sha2("text", 256).alias("shb"))
     same = a.join(b, a["ka"] == b["kb"], "full_outer")
     same = materialize(same, "audit-ids")
     by_id = same.where("ka is not null and kb is not null").select("a", "b", F.when(F.col("sha") == F.col("shb"), "unchanged").otherwise("text_changed").alias("status"))

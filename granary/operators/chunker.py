@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.session import materialize
+
 #: Separators by preference (fixed values), looked for in the last fifth of a window.
 SEPARATORS = ("\n\n", "\n", ". ", "? ", "! ", " ")
 TAIL = 0.8
@@ -74,8 +76,6 @@ def number_globally(chunks: DataFrame, path_col: str = "source_file") -> DataFra
     """
     ordered = chunks.drop("global_index").orderBy(path_col, "doc_chunk_index", "chunk_id")
     tagged = ordered.withColumn("__row", F.monotonically_increasing_id())
-    from granary.session import materialize
-
     tagged = materialize(tagged, "numbered")
     part = F.shiftright("__row", 33)
     sizes = tagged.groupBy(part.alias("p")).count().orderBy("p").collect()  # one row per partition
@@ -85,5 +85,6 @@ def number_globally(chunks: DataFrame, path_col: str = "source_file") -> DataFra
         total += n
     if not ahead:
         return chunks
-    shift = F.create_map(*[x for p, a in ahead.items() for x in (F.lit(p), F.lit(a))])
-    return tagged.withColumn("global_index", F.element_at(shift, part) + F.col("__row").bitwiseAND((1 << 33) - 1)).select(*chunks.columns)
+    shifts = chunks.sparkSession.createDataFrame(list(ahead.items()), "__part int, __ahead long")
+    numbered = tagged.withColumn("__part", part.cast("int")).join(shifts, "__part")
+    return numbered.withColumn("global_index", F.col("__ahead") + F.col("__row").bitwiseAND((1 << 33) - 1)).select(*chunks.columns)

@@ -42,6 +42,19 @@ def slices(texts: list[str], most: int = MAX_CHARS) -> list[tuple[int, int]]:
     return [*out, (start, len(texts))] if texts else []
 
 
+def calls(sizes: list[int], most_chars: int = MAX_CHARS, most_docs: int = 8) -> list[list[int]]:
+    """Positions of consecutive documents that go into one call: at most ``most_docs`` of them and ``most_chars`` characters."""
+    out: list[list[int]] = []
+    room = 0
+    for i, n in enumerate(sizes):
+        if not out or len(out[-1]) == most_docs or n > room:
+            out.append([])
+            room = most_chars
+        out[-1].append(i)
+        room -= n
+    return out
+
+
 def subjects(payload: dict | None, first: int, last: int) -> list[tuple[int, int, tuple[str, ...]]]:
     """``(first, last, words)`` read from a model's answer; spans outside of what it was shown are dropped."""
     out = []

@@ -7,8 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows per Arrow batch for operators that see whole texts: bounds a Python worker's memory.
-TEXT_BATCH_ROWS = 1000
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "granary") -> SparkSession:
@@ -44,7 +42,7 @@ def materialize(df: DataFrame, what: str = "table", partition_by: list[str] | No
     """Write ``df`` once into the shared folder and read it back.
 
     It cuts the lineage and survives the loss of executors. The table is Parquet, so
-    later reads prune columns and know the size.
+    later reads prune columns and know the size. It goes when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/granary/{what}-{uuid.uuid4().hex}"
@@ -52,14 +50,19 @@ def materialize(df: DataFrame, what: str = "table", partition_by: list[str] | No
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    _file_system(spark, path)[0].deleteOnExit(_file_system(spark, path)[1])
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_materialized(spark: SparkSession) -> None:
     """Delete the tables :func:`materialize` has written below the shared folder."""
-    jvm, path = spark.sparkContext._jvm, f"{shared_dir(spark)}/granary"
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    system, path = _file_system(spark, f"{shared_dir(spark)}/granary")
+    system.delete(path, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:

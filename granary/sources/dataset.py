@@ -84,10 +84,12 @@ def write(chunks: DataFrame, path: str, name: str, chunking: dict, sources: Data
     (sources or source_list(rows)).select(*schema.SOURCE_COLUMNS).write.parquet(f"{path}/data/sources")
     listed = spark.read.parquet(f"{path}/data/sources")
     types = {r[0]: r[1] for r in listed.groupBy("file_type").count().orderBy("file_type").collect()}
-    inventory, corpus = hashing.chunk_inventory_sha256(rows), hashing.corpus_fingerprint(listed)
+    count = rows.count()
+    method = hashing.inventory_method(count)
+    inventory, corpus = hashing.chunk_inventory_sha256(rows, method), hashing.corpus_fingerprint(listed, method)
     manifest = {
         "spec": SPEC, "spec_version": SPEC_VERSION, "dataset_id": hashing.dataset_id(inventory), "name": name, "created_at": created_at or now(), "chunking": chunking,
-        "sources": {"source_count": listed.count(), "file_types": types}, "chunk_count": rows.count(), "chunk_inventory_sha256": inventory, "corpus_fingerprint": corpus,
+        "sources": {"source_count": listed.count(), "file_types": types}, "chunk_count": count, "inventory_method": method, "chunk_inventory_sha256": inventory, "corpus_fingerprint": corpus,
     }
     if derived_from:
         manifest["derived_from"] = derived_from
@@ -120,7 +122,8 @@ def read(spark: SparkSession, path: str, verify: bool = True) -> Dataset:
         raise DatasetIntegrityError(f"{path}: not a dataset of this format")
     chunks = spark.read.schema(schema.CHUNK).parquet(f"{path}/data/chunks")
     sources = spark.read.parquet(f"{path}/data/sources")
-    inventory, corpus = hashing.chunk_inventory_sha256(chunks), hashing.corpus_fingerprint(sources)
+    method = manifest.get("inventory_method", "lines")
+    inventory, corpus = hashing.chunk_inventory_sha256(chunks, method), hashing.corpus_fingerprint(sources, method)
     facts = {
         "chunk_inventory_sha256": inventory, "dataset_id": hashing.dataset_id(inventory), "corpus_fingerprint": corpus, "chunk_count": chunks.count(),
         "core_sha256": core_sha256(manifest, inventory, corpus),

@@ -100,6 +100,14 @@ def test_inventory_is_the_stated_hash(chunk_frame):
     assert hashing.chunk_inventory_sha256(chunk_frame(ROWS[::-1])) == hashlib.sha256(lines.encode()).hexdigest()
 
 
+def test_tree_identity(chunk_frame, monkeypatch, spark, tmp_path):
+    a, b = chunk_frame(ROWS), chunk_frame(ROWS[::-1]).repartition(3)
+    assert hashing.chunk_inventory_sha256(a, "tree") == hashing.chunk_inventory_sha256(b, "tree") != hashing.chunk_inventory_sha256(a.limit(2), "tree")
+    monkeypatch.setattr(hashing, "MOST_LINES", 1)
+    made = dataset.write(a, str(tmp_path / "t"), "n", {})
+    assert made.manifest["inventory_method"] == "tree" and dataset.read(spark, made.path).verified
+
+
 def test_bad_lines(spark, tmp_path):
     for i, line in enumerate(['{"chunk_id": "a", "surprise": 1}', "not json", "[1]"]):
         (tmp_path / f"{i}.jsonl").write_text(line + "\n")

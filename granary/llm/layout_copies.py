@@ -73,10 +73,8 @@ def copy_classes(df: DataFrame, id_col: str, text_col: str, is_card: Column) ->
     kind = dict(base.dtypes)["id"]
     cheap = base.mapInPandas(_invariants, f"id {kind}, card boolean, length int, letters long").where("length > 0")
     cheap = materialize(cheap, "layout-invariants")
-    # First refinement by length, second by letters: each needs only the classes that are left.
-    by_length = cheap.groupBy("card", "length").count().where("count > 1").drop("count")
-    by_letters = cheap.groupBy("card", "length", "letters").count().where("count > 1").drop("count")
-    classes = by_letters.join(by_length, ["card", "length"], "left_semi")
+    # A class by letters lies within one by length, so one pass over the ids refines by both.
+    classes = cheap.groupBy("card", "length", "letters").count().where("count > 1").drop("count")
     members = cheap.join(classes, ["card", "length", "letters"], "left_semi").select("id").distinct()
     keyed = base.join(members, "id", "left_semi").mapInPandas(_keys, f"id {kind}, key binary")
     keyed = materialize(keyed.distinct(), "layout-keys")

@@ -176,7 +176,7 @@ def _unit(vectors: pd.Series) -> np.ndarray:
 
 def nearest(
     df: DataFrame, id_col: str = "chunk_id", vector_col: str = "embedding", dimension: int = 64, k: int = 5,
-    shard_rows: int = SHARD_ROWS, replicas: int = 2, probes: int | None = None, degree: int = 24, beam: int = 48,
+    shard_rows: int = SHARD_ROWS, replicas: int = 2, probes: int | None = None, degree: int = 24, beam: int = 48, passes: int = 1,
 ) -> DataFrame:
     """``(id, neighbour, similarity, rank)``: up to ``k`` rows per usable vector, cosine, best first.
 
@@ -185,6 +185,7 @@ def nearest(
     Fewer than k + 1 usable vectors give fewer neighbours; one or none gives no row. The
     search is approximate: recall against brute force is measured in the tests. Without
     ``probes`` a query searches 2 + log2(shards) shards, as routing gets harder with their number.
+    A second building pass (``passes``) raises recall by less than half a percent.
     """
     v = F.col("v")
     usable = df.where(df[id_col].isNotNull()).select(df[id_col].cast("string").alias("id"), df[vector_col].cast("array<float>").alias("v"))
@@ -232,7 +233,7 @@ def nearest(
         own = x[member]
         ids, groups = pdf["ids"].to_numpy(), pdf["group"].to_numpy()
         member_ids, member_groups = ids[member], groups[member]
-        graph = Graph(own, degree, beam)
+        graph = Graph(own, degree, beam, passes=passes)
         out: list[tuple] = []
         for at in range(0, len(x), 512):
             found, _ = graph.search(x[at : at + 512], beam)

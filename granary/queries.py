@@ -525,9 +525,10 @@ FROM part WHERE p_name LIKE '%a%'""")
 _sql("sql_json", """
 SELECT event_type, count(get_json_object(props, '$.k')) AS keyed, count(*) AS n FROM events GROUP BY event_type""",
      "SELECT event_type, count(json_extract_string(props, '$.k')) AS keyed, count(*) AS n FROM events GROUP BY event_type")
-_sql("sql_pricing_summary", """
+_PRICING = """
 SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS avg_disc, count(*) AS n
-FROM lineitem WHERE l_shipdate <= timestamp '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus""")
+FROM lineitem WHERE l_shipdate <= {} '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus"""
+_sql("sql_pricing_summary", _PRICING.format("timestamp_ntz"), _PRICING.format("timestamp"))
 
 
 @query(rf"SELECT chunk_id, trim(regexp_replace(regexp_replace(text, '\\([!-/:-@\[-`{{-~]|\n)', '\1', 'g'), '{_BLANK_SQL}', ' ', 'g')) AS plain FROM chunks")

@@ -423,15 +423,17 @@ def replace(docs: DataFrame, name_list: DataFrame, key: str = "granary", style:
     ``style="placeholder"``: ``[PERSON_5f0c21ab]``, the code keyed by ``key`` and equal for
     equal entities. ``style="surrogate"``: an invented value of the same type and format.
     Texts without personal data and null texts come out as they are; ``replaced`` counts
-    mentions. Document ids must be unique; rows with a null id are left unchanged.
+    mentions. Every row comes out once, repeated ones and those with a null id too.
     """
-    found = materialize(find(docs, name_list, id_col, text_col).withColumnRenamed(id_col, "id"), "mentions")
+    # Equal texts have equal mentions, so a text is known by its hash: ids may repeat or be null.
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).withColumn("key", F.unhex(F.md5("text")))
+    found = materialize(find(rows, name_list, "key"), "mentions")
     if style == "surrogate":
         found = found.join(entity_table(found, key), ["kind", "canonical"])
     else:
         code = F.substring(F.sha2(F.concat_ws("\0", F.lit(key), "kind", "canonical"), 256), 1, 8)
         found = found.withColumn("surrogate", F.concat(F.lit("["), F.upper("kind"), F.lit("_"), code, F.lit("]")))
-    per_doc = found.where("id is not null").groupBy("id").agg(F.collect_list(F.struct("char_start", "char_end", "kind", "surrogate")).alias("spans"))
+    per_text = found.groupBy("key").agg(F.collect_set(F.struct("char_start", "char_end", "kind", "surrogate")).alias("spans"))
 
     def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -446,10 +448,9 @@ def replace(docs: DataFrame, name_list: DataFrame, key: str = "granary", style:
             yield pd.DataFrame({id_col: b["id"], "text": texts, "replaced": [0 if s is None else len(s) for s in b["spans"]]})
 
     kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     # Only texts with mentions pass through Python.
-    changed = rows.join(per_doc, "id").mapInPandas(rewrite, f"{id_col} {kind}, text string, replaced int")
-    same = rows.join(per_doc.select("id"), "id", "left_anti").select(F.col("id").alias(id_col), "text", F.lit(0).alias("replaced"))
+    changed = rows.join(per_text, "key").drop("key").mapInPandas(rewrite, f"{id_col} {kind}, text string, replaced int")
+    same = rows.join(per_text.select("key"), "key", "left_anti").select(F.col("id").alias(id_col), "text", F.lit(0).alias("replaced"))
     return changed.unionByName(same)
 
 

@@ -57,6 +57,8 @@ def test_replacement_keeps_the_rest(spark, style):
     out = {r.doc_id: r for r in pd_.replace(docs, names, style=style).collect()}
     text = out[1].text
     assert out[1].replaced == 4 and "Brevolane" not in text and "BREVOLANE" not in text and " met " in text and " and " in text and text.endswith(".")
+    assert "Zamirnick" not in out[None].text and pd_.replace(docs.unionByName(docs), names, style=style).where("doc_id = 1").select("text").distinct().count() == 1
+    assert pd_.replace(docs.unionByName(docs), names, style=style).count() == 12
     assert out[2].text is None and out[3].text == "" and out[4].text == "nothing here" and len(out) == 6
     if style == "surrogate":
         first, second = text.split(", ")[0], text.split(" met ")[1].split(" and ")[0]

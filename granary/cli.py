@@ -89,6 +89,7 @@ def run(a: argparse.Namespace) -> int:
             print(e["folder"], e["dataset_id"] or "-", e["chunk_count"] if e["problem"] is None else e["problem"])
         return 0
     spark = session.local_session(a.cores)
+    session.ship(spark)
     if a.verb == "dataset":
         return _dataset(spark, a)
     if a.verb == "validate":

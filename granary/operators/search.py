@@ -122,7 +122,7 @@ class SearchIndex:
         """An index for this session: rows and postings are written to the shared folder once, copies are not computed."""
         rows = index_rows(chunks)
         rows = materialize(rows.withColumn("copy_rep", F.col("chunk_id")), "index-rows")
-        posts = materialize(ps.postings(rows).repartitionByRange("token", "chunk_id").sortWithinPartitions("token"), "index-postings")
+        posts = materialize(ps.postings(rows), "index-postings")
         sizes = materialize(ps.lengths(posts), "index-sizes")
         total = sizes.agg(F.count("*"), F.avg("size")).first()
         return cls({"chunks": rows, "postings": posts, "sizes": sizes}, total[0], total[1] or 0.0, filters.validate(scope))

@@ -320,6 +320,16 @@ def find(docs: DataFrame, name_list: DataFrame, id_col: str = "doc_id", text_col
 
 _GIVEN_F = "Ada Bela Cora Dina Edda Fina Gerda Hanna Ilka Jana Kaja Lena Mona Nela Olga Pia Runa Sina Tilda Ulla Vera Wanda Xenia Yara".split()
 _GIVEN_M = "Arno Bert Carl Dirk Egon Finn Gerd Hein Ivor Jörn Kurt Lutz Marc Nils Olaf Paul Rolf Sven Timm Ulf Veit Wolf Xaver York".split()
+#: Given names by gender; a name in neither, and an initial, gets a given name of either pool.
+_FEMALE = set(
+    "alba alice amina ana andrea anna anneke barbara carla carmen carol catherine celine charlotte clara claire elena elisabeth elizabeth emma eva fatima freya greta hannah helen helga ines "
+    "ingrid isabel jane joan judith julia karen karin laura leila lotte lucia luz maria marie marta mary mei mercedes mireille monika nadia noor odile olga paula petra pilar rosa ruth sarah selma "
+    "sofia sophie susan ursula wanjiru yasmin".split()
+)
+_MALE = set(
+    "ahmed alejandro andres anton antonio bruno carlos daniel david diego dorian emil enrique felipe georg george goran hans henrik hiro hugo ivan jakob james javier jean john jonas jorge jose joshua juan "
+    "julien karl kofi louis luca luis marco mario martin michael miguel nikita omar oskar paul pavel pedro peter philippe pierre piotr rafael robert sacha sasha simon tariq thomas uwe viktor yannick".split()
+)
 _SYLLABLES = "ba ce di fo gu ha ke li mo nu pa re si to va we zi bro cra dre fli gro kna ple stu tra".split()
 
 
@@ -342,8 +352,8 @@ def entity_surrogate(kind: str, canonical: str, key: bytes, attempt: int = 0) ->
     """The canonical surrogate of an entity, to be given each mention's format."""
     s = _Stream(key, kind, canonical, attempt)
     if kind == "person":
-        first = canonical.split(" ")[0]
-        pool = _GIVEN_F if first.endswith(("a", "e", "i")) else _GIVEN_M
+        first = _fold(canonical.split(" ")[0])
+        pool = _GIVEN_F if first in _FEMALE else _GIVEN_M if first in _MALE else _GIVEN_F + _GIVEN_M
         given = pool[s.below(len(pool))]
         return f"{given} {''.join(_SYLLABLES[s.below(len(_SYLLABLES))] for _ in range(4)).capitalize()}"
     if kind == "email":
@@ -374,17 +384,61 @@ def formatted(kind: str, surface: str, surrogate: str) -> str:
         text = local + (at[0] if at else "@") + domain.replace(".", dot[0] if dot else ".")
         return text.upper() if surface.isupper() else text
     if kind == "address":
-        name, number = surrogate.split(" ")
-        text = re.sub(r"\d+", number, surface, count=1)
-        words = [w for w in re.finditer(r"[^\W\d_]{3,}", text)]
-        if words:
-            w = max(words, key=lambda m: (m[0].lower() not in _STREETS_EN and m[0][0].isupper(), len(m[0])))
-            text = text[: w.start()] + _cased(name, w[0]) + text[w.end() :]
-        return text
+        return _address(surface, surrogate)
     fill = iter(surrogate)
     return "".join((next(fill, c) if c.isalnum() else c) for c in surface)
 
 
+_LOCALITY = re.compile(rf"{_TOWN}$")
+_POSTCODE = re.compile(r"(?<!\w)[A-Z]{2}\d?\s\d\w{2,4}$")
+#: What stays of a street: its kind and the small words about it. The group is the rest.
+_KIND_OF_STREET = (
+    re.compile(rf"\d+(?:\s?[A-Za-z])?\s(.+?)\s(?:{_STREET_EN})\.?$", re.S),
+    re.compile(rf"(?:\d+\s?(?:bis|ter|quater|[A-Da-d])?,?\s)?(?:{_STREET_FR})\s{_OF_FR}(.+)$", re.I | re.S),
+    re.compile(r"(?:calle|c/|avenida|avda?\.|paseo|plaza|camino|carretera|ronda|traves[íi]a|glorieta)\s?(?:(?:del?(?:\s+l[ao]s?)?|l[ao]s?|el)\s+)?(.+)$", re.I | re.S),
+    re.compile(r"([\w-]+?)(?:stra(?:ß|ss)e|str\.|weg|gasse|platz|allee|ufer|damm|chaussee|steig|pfad|ring|markt|kai)\s", re.I),
+    re.compile(r"(?:am|an\s+der|zum|zur|im|in\s+der|auf\s+dem|alte[rs]?|neue[rs]?)\s+(\S+)\s", re.I),
+)
+_PART = re.compile(r"[^\W\d_]{2,}(?:['’-][^\W\d_]+)*")
+
+
+def _address(surface: str, surrogate: str) -> str:
+    """Every part of an address by a value of its own: street, house number and its letter, flat, postcode, town.
+
+    The street's kind and separators stay. What ``surrogate`` doesn't hold is drawn from it, and it is keyed.
+    """
+    name, number = surrogate.split(" ")
+    s = _Stream(b"", "address", surrogate, 0)
+    names = iter([name])
+
+    def word(like: str) -> str:
+        return _cased(next(names, None) or _invented(s, 3), like)
+
+    def mixed(text: str) -> str:
+        return "".join(str(s.below(10)) if c.isdigit() else chr(65 + s.below(26)) if c.isalpha() else c for c in text)
+
+    cut = _LOCALITY.search(surface).start()
+    street, place = surface[:cut], surface[cut:]
+    m = next((m for k in _KIND_OF_STREET if (m := k.match(street))), None)
+    a, b = m.span(1) if m else (0, len(street))
+    inner = _PART.sub(lambda w: w[0] if re.fullmatch(r"n[úu]m", w[0], re.I) else word(w[0]), street[a:b])
+    street = f"{street[:a]}{inner}{street[b:]}"
+    # Its letter may stand apart; the words that count instead of letters are drawn too.
+    street = re.sub(
+        r"\d+(?:(\s?)(?:(bis|ter|quater)|([A-Za-z]))(?![^\W_]))?",
+        lambda d: number + (d[1] or "") + (("bis", "ter", "quater")[s.below(3)] if d[2] else ("abcd" if d[3].islower() else "ABCD")[s.below(4)] if d[3] else ""), street, count=1,
+    )
+    code = _POSTCODE.search(place)
+    tail = mixed(code[0]) if code else ""
+    head = place[: code.start()] if code else place
+    head = re.sub(rf"\d+|{_PART.pattern}", lambda w: mixed(w[0]) if w[0].isdigit() else w[0] if w[0] == "Apt" else word(w[0]), head)
+    return street + head + tail
+
+
+def _invented(s: _Stream, syllables: int) -> str:
+    return "".join(_SYLLABLES[s.below(len(_SYLLABLES))] for _ in range(syllables)).capitalize()
+
+
 def _cased(word: str, like: str) -> str:
     return word.upper() if like.isupper() and len(like) > 1 else word.lower() if like.islower() else word
 

@@ -474,7 +474,7 @@ def entity_table(found: DataFrame, key: str, rounds: int = 8, invent=entity_surr
 def replace(docs: DataFrame, name_list: DataFrame, key: str = "granary", style: str = "placeholder", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, text, replaced)``: every text with its personal data replaced, all else unchanged.
 
-    ``style="placeholder"``: ``[PERSON_5f0c21ab]``, the code keyed by ``key`` and equal for
+    ``style="placeholder"``: ``[PERSON_5f0c21ab...]``, the code of 32 hex digits keyed by ``key`` and equal for
     equal entities. ``style="surrogate"``: an invented value of the same type and format.
     Texts without personal data and null texts come out as they are; ``replaced`` counts
     mentions. Every row comes out once, repeated ones and those with a null id too.
@@ -485,7 +485,7 @@ def replace(docs: DataFrame, name_list: DataFrame, key: str = "granary", style:
     if style == "surrogate":
         found = found.join(entity_table(found, key), ["kind", "canonical"])
     else:
-        code = F.substring(F.sha2(F.concat_ws("\0", F.lit(key), "kind", "canonical"), 256), 1, 8)
+        code = F.substring(F.sha2(F.concat_ws("\0", F.lit(key), "kind", "canonical"), 256), 1, 32)  # 128 bits: no two entities share one
         found = found.withColumn("surrogate", F.concat(F.lit("["), F.upper("kind"), F.lit("_"), code, F.lit("]")))
     per_text = found.groupBy("key").agg(F.collect_set(F.struct("char_start", "char_end", "kind", "surrogate")).alias("spans"))
 

@@ -119,9 +119,10 @@ class SearchIndex:
 
     @classmethod
     def over(cls, chunks: DataFrame, scope: dict | None = None) -> SearchIndex:
-        """An index for this session: rows and postings are written to the shared folder once, copies are not computed."""
-        rows = index_rows(chunks)
-        rows = materialize(rows.withColumn("copy_rep", F.col("chunk_id")), "index-rows")
+        """An index for this session: rows with their ``copy_rep`` and postings are written to the shared folder once; groups and overlaps are not computed."""
+        near = cp.near_table(chunks)
+        rows = index_rows(chunks).join(near.select("chunk_id", "copy_rep").distinct(), "chunk_id", "left")
+        rows = materialize(rows.withColumn("copy_rep", F.coalesce("copy_rep", "chunk_id")), "index-rows")
         posts = materialize(ps.postings(rows), "index-postings")
         sizes = materialize(ps.lengths(posts), "index-sizes")
         total = sizes.agg(F.count("*"), F.avg("size")).first()

@@ -45,9 +45,8 @@ def spans(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
 def chunk_documents(docs: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
     """Chunk rows of loaded documents, with their metadata as JSON text.
 
-    Null and blank contents have no chunk. ``global_index`` is dense over the whole
-    result in order of path, then position: counts per document are summed in order, so
-    no single task numbers all chunks.
+    Null and blank contents have no chunk. ``global_index`` is null; :func:`number_globally`
+    fills it.
     """
     if not 0 <= overlap < size:
         raise ValueError("the overlap must be at least 0 and less than the size")

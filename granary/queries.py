@@ -144,7 +144,7 @@ def dense_ordinals(spark, folder):
 
 @query()
 def chunked_documents(spark, folder):
-    return chunker.chunk_documents(read(spark, folder, "loaded_documents"), 1000, 200)
+    return chunker.number_globally(chunker.chunk_documents(read(spark, folder, "loaded_documents"), 1000, 200))
 
 
 @query("""

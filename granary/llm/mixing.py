@@ -50,11 +50,12 @@ def queue_sizes(sizes: DataFrame, seed: int = 0) -> DataFrame:
     return sizes.withColumn("within", within).join(totals, ["source", "bucket"]).select("source", "id", "tokens", (F.col("ahead") + F.col("within")).alias("queued"), "source_tokens")
 
 
-def _budgets(queued: DataFrame, targets: DataFrame, budget: int | None) -> DataFrame:
+def _budgets(queued: DataFrame, targets: DataFrame, budget: int | str | None) -> DataFrame:
     """Per mix and source: weight, cap of repeats, tokens of the source, and the finish time at which the mix ends.
 
     Without a budget a mix ends where the first of its sources that has documents is used up
-    with all its repeats: up to there every such source reaches its share.
+    with all its repeats: up to there every such source reaches its share. ``budget="sources"``
+    is as many tokens as the mix's sources have; those too small for their share run to their cap.
     """
     rows = targets.where("target_share > 0 and max_repeats > 0 and source is not null")
     per = queued.groupBy("source").agg(F.max("source_tokens").alias("source_tokens"))
@@ -65,11 +66,12 @@ def _budgets(queued: DataFrame, targets: DataFrame, budget: int | None) -> DataF
     if budget is None:
         return per.withColumn("ends", end)
     # With a budget: the finish time at which the sources, each up to its cap, have given that many tokens.
+    total = F.sum("source_tokens").over(mix).cast("double") if budget == "sources" else F.lit(float(budget))
     steps = per.withColumn("most", F.when(F.col("source_tokens") > 0, most))
     order = Window.partitionBy("mix_id").orderBy(F.col("most").asc_nulls_first(), "source")
     done = F.sum(F.coalesce("most", F.lit(0.0)) * F.col("target_share")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     running = F.sum(F.when(F.col("most").isNotNull(), F.col("target_share")).otherwise(0.0)).over(order.rowsBetween(0, Window.unboundedFollowing))
-    at = (F.lit(float(budget)) - F.coalesce(done, F.lit(0.0))) / running
+    at = (total - F.coalesce(done, F.lit(0.0))) / running
     before = F.coalesce(F.lag("most").over(order), F.lit(0.0))
     reached = F.when(F.col("most").isNotNull() & (at <= F.col("most")) & (at >= before), at)
     steps = steps.withColumn("reached", reached)
@@ -77,12 +79,12 @@ def _budgets(queued: DataFrame, targets: DataFrame, budget: int | None) -> DataF
     return steps.withColumn("ends", ends).drop("most", "reached")
 
 
-def mix(queued: DataFrame, targets: DataFrame, budget: int | None = None) -> DataFrame:
+def mix(queued: DataFrame, targets: DataFrame, budget: int | str | None = None) -> DataFrame:
     """``(mix_id, source, doc_id, copy, tokens, finish)``: the documents of each mix, those that finish in time.
 
     ``copy`` counts a document's uses from 1 to at most ``max_repeats``. ``budget`` is the total
-    number of tokens of a mix; see :func:`_budgets` for the default. Each source is within
-    half a document of its share. Sources without documents give nothing.
+    number of tokens of a mix; see :func:`_budgets` for the default and for ``"sources"``. Each
+    source is within half a document of its share, or at its cap. Sources without documents give nothing.
     Repeated target rows of a mix and source are summed, with the smallest cap.
     """
     targets = targets.groupBy("mix_id", "source").agg(F.sum("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats"))

@@ -62,12 +62,12 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_mixed(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.ordered_mix(mixing.mix(mixing.queue(read(spark, folder, "documents")), read(spark, folder, "mix_targets")))
+    return mixing.ordered_mix(mixing.mix(mixing.queue(read(spark, folder, "documents")), read(spark, folder, "mix_targets"), budget="sources"))
 
 
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     targets = read(spark, folder, "mix_targets")
-    return mixing.shares(mixing.mix(mixing.queue(read(spark, folder, "documents")), targets), targets)
+    return mixing.shares(mixing.mix(mixing.queue(read(spark, folder, "documents")), targets, budget="sources"), targets)
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -173,11 +174,16 @@ class SearchIndex:
     def resolve_module(self, value: str) -> str:
         return self._resolve("task_id", value, "module")
 
+    def documents(self, value: str) -> DataFrame:
+        """``(doc_id)`` of all documents with this title in any case, else of the document with this id or prefix."""
+        titled = self.chunks.where(F.lower("source") == value.lower()).select("doc_id").distinct()
+        if not titled.isEmpty():
+            return titled
+        return self.chunks.where(F.col("doc_id") == self._resolve("doc_id", value, "document")).select("doc_id").distinct()
+
     def resolve_doc(self, value: str) -> list[str]:
-        """Documents with this title in any case, else the document with this id or prefix."""
-        titled = self.chunks.where(F.lower("source") == value.lower()).select("doc_id").distinct().orderBy("doc_id").limit(SHOWN_AMBIGUOUS + 1)
-        found = [r[0] for r in titled.collect()]
-        return found or [self._resolve("doc_id", value, "document")]
+        """The ids of :meth:`documents`, in order."""
+        return [r[0] for r in self.documents(value).orderBy("doc_id").collect()]
 
     # Search --------------------------------------------------------------------------
 
@@ -197,7 +203,7 @@ class SearchIndex:
         groups = [[t] if isinstance(t, str) else list(t) for t in any]
         if any and isinstance(any[0], str):
             groups = [list(any)]
-        conditions = self._conditions(modules, general_only, docs, exclude_docs, types)
+        conditions = self._conditions(modules, general_only, types)
         expression = ps.Expression()
         text = F.lower("plain")
         needles = [n for n in substring]
@@ -216,6 +222,9 @@ class SearchIndex:
         rows = self.chunks
         for c in conditions:
             rows = rows.where(c)
+        for names, how in ((docs, "left_semi"), (exclude_docs, "left_anti")):
+            if names:
+                rows = rows.join(reduce(DataFrame.union, [self.documents(d) for d in names]), "doc_id", how)
         if expression.scored():
             hits, stats = ps.matches(self.tables["postings"], expression, titles)
             scored = ps.bm25(hits, list(stats.first()), self.tables["sizes"], self.rows, self.mean_size)
@@ -223,7 +232,7 @@ class SearchIndex:
         elif expression.not_:
             every = ps.Expression(any=[expression.not_])
             rows = rows.join(ps.matches(self.tables["postings"], every, titles)[0], "chunk_id", "left_anti").withColumn("score", F.lit(None).cast("double"))
-        elif conditions:
+        elif conditions or docs or exclude_docs:
             rows = rows.withColumn("score", F.lit(None).cast("double"))
         else:
             raise SearchIndexError("no condition given")
@@ -240,15 +249,11 @@ class SearchIndex:
         query = {k: v for k, v in {"all": list(all), "any": groups, "not": list(not_), "phrase": list(phrase), "near": list(near), "regex": list(regex), "substring": list(substring)}.items() if v}
         return SearchResult(shown, total, by_doc, by_module, query, limit, self.scope)
 
-    def _conditions(self, modules, general_only, docs, exclude_docs, types) -> list[Column]:
+    def _conditions(self, modules, general_only, types) -> list[Column]:
         out = []
         if modules or general_only:
             inside = F.col("task_id").isin([self.resolve_module(m) for m in modules]) if modules else F.lit(False)
             out.append(F.coalesce(inside, F.lit(False)) | (F.col("task_id").isNull() if general_only else F.lit(False)))
-        if docs:
-            out.append(F.col("doc_id").isin([x for d in docs for x in self.resolve_doc(d)]))
-        if exclude_docs:
-            out.append(~F.col("doc_id").isin([x for d in exclude_docs for x in self.resolve_doc(d)]))
         if types:
             out.append(F.coalesce(F.col("resource_type").isin(list(types)), F.lit(False)) | F.coalesce(F.col("type").isin(list(types)), F.lit(False)))
         return out
@@ -294,8 +299,7 @@ class SearchIndex:
 
     def outline(self, value: str) -> DataFrame:
         """The document's chunks in order, with their headings, the one carried over, and their length."""
-        docs = self.resolve_doc(value)
-        rows = self.chunks.where(F.col("doc_id").isin(docs)).orderBy("doc_id", *ordered.order())
+        rows = self.chunks.join(self.documents(value), "doc_id", "left_semi").orderBy("doc_id", *ordered.order())
         titles = F.col("headings.title")
         return rows.select("doc_id", "chunk_id", "doc_chunk_index", F.get(titles, F.lit(0)).alias("heading"), titles.alias("headings"), "heading_before", F.length("plain").alias("chars"))
 

@@ -1,18 +1,21 @@
 """Filling containers of fixed capacity: a configuration linear program over the length histogram.
 
-Only the histogram of lengths reaches the driver: at most as many numbers as the capacity,
-however many items there are. Lengths are grouped into classes about one percent wide. The covering
-program (fewest containers such that every class is covered) is solved by multiplicative
-weights; each step prices configurations with a knapsack dynamic program. The fractional
-solution is rounded down, and what is left is placed, class by class and largest first, into
-the room left over and then into new containers. The plan says how many containers follow
-each configuration; items learn their container from their rank within their class.
+Only histograms of lengths are solved for: at most as many numbers as the capacity, however
+many items there are, one task per capacity. Lengths are grouped into narrow classes. The covering
+program (fewest containers such that every class is covered) is solved by multiplicative weights:
+a class's price is its length times a weight that falls exponentially with the share of it that
+is covered, so all classes are used up at the same pace; a knapsack dynamic program finds the
+configuration of the greatest price, and a number of containers follow it that covers a bounded
+share of what is left of any class. Every step is rounded to whole containers as it is made and
+covers no class beyond its demand, so nothing is left over for another method. Smaller steps are
+taken while the number of containers is further from the program's lower bound than a gap.
+The plan says how many containers follow each configuration; items learn their container from
+their rank within their class, by a join with the plan.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,18 +29,23 @@ from granary.session import materialize
 
 #: Items ranked together in one task.
 RANK_ROWS = 100_000
+#: Ranks of a class that share a row of the plan.
+PLAN_RANKS = 1024
+#: Width of a length class; how far the plan may be from the lower bound before smaller steps are tried; the steps.
+CLASS_RATIO, GAP, STEPS = 1.003, 0.0015, (0.5, 0.25, 0.125)
 
 
 @dataclass
 class Plan:
-    """``upper``: class bounds; runs of containers ``[first, first + count)`` with ``each`` items of a class from rank ``offset``."""
+    """``upper``: class bounds; runs of ``times`` containers from ``first`` on with ``each`` items of a class from rank ``offset``; ``least``: the lower bound."""
 
     upper: np.ndarray
-    slots: list[tuple[int, int, int, int, int]]  # class, offset, each, first, count
+    slots: list[tuple[int, int, int, int, int]]  # class, offset, each, first, times
     containers: int
+    least: int
 
 
-def length_classes(capacity: int, ratio: float = 1.01) -> np.ndarray:
+def length_classes(capacity: int, ratio: float = CLASS_RATIO) -> np.ndarray:
     """Ascending upper bounds of the length classes, the capacity last; small lengths are exact."""
     bounds, size = [], 1
     while size < capacity:
@@ -46,132 +54,102 @@ def length_classes(capacity: int, ratio: float = 1.01) -> np.ndarray:
     return np.array([*bounds, capacity])
 
 
-def price(values: np.ndarray, sizes: np.ndarray, available: np.ndarray, capacity: int) -> np.ndarray:
-    """The configuration of greatest value: a knapsack dynamic program, copies by powers of two."""
+def price(values: np.ndarray, sizes: np.ndarray, available: np.ndarray, capacity: int, classes: np.ndarray) -> dict[int, int]:
+    """The configuration of greatest value made of ``classes``: a knapsack dynamic program, copies by powers of two."""
     best = np.zeros(capacity + 1)
-    steps: list[tuple[int, int, np.ndarray]] = []
-    for j in np.flatnonzero(values > 0).tolist():
-        size, most, copies = int(sizes[j]), min(capacity // int(sizes[j]), int(available[j])), 1
+    steps: list[tuple[int, int, int, np.ndarray]] = []
+    for j in classes.tolist():
+        size, copies = int(sizes[j]), 1
+        most = min(capacity // size, int(available[j]))
         while most > 0:
             take = min(copies, most)
             weight = size * take
             with_it = best[: capacity + 1 - weight] + values[j] * take
-            better = with_it > best[weight:] + 1e-15
+            better = with_it > best[weight:]
             if better.any():
-                best[weight:][better] = with_it[better]
-                steps.append((j, take, better))
+                np.copyto(best[weight:], with_it, where=better)
+                steps.append((j, take, weight, better))
             most -= take
             copies *= 2
-    counts, room = np.zeros(len(values), np.int64), capacity
-    for j, take, better in reversed(steps):
-        weight = int(sizes[j]) * take
+    counts: dict[int, int] = {}
+    room = capacity
+    for j, take, weight, better in reversed(steps):
         if room >= weight and better[room - weight]:
-            counts[j] += take
+            counts[j] = counts.get(j, 0) + take
             room -= weight
     return counts
 
 
-def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 160, epsilon: float = 0.1) -> list[tuple[np.ndarray, float]]:
-    """Configurations and their fractional numbers, covering every class's demand."""
-    covered = np.zeros(len(sizes))
-    chosen: dict[bytes, list] = {}
-    for _ in range(rounds):
-        # The less of a class is covered, the dearer it is.
-        weight = np.exp(-(covered / demand - (covered / demand).min()) / epsilon)
-        config = price(weight / demand, sizes, demand, capacity)
-        if not config.any():
-            break
-        used = config > 0
-        step = epsilon * float((demand[used] / config[used]).min())
-        # No step larger than what would cover everything were all containers like this one.
-        step = min(step, max(1.0, float((sizes * demand).sum()) / capacity * epsilon))
-        covered += config * step
-        chosen.setdefault(config.tobytes(), [config, 0.0])[1] += step
-    low = float((covered / demand).min()) if len(demand) else 1.0
-    # Classes the rounds did not reach are left to the rounding step.
-    scale = 1 / max(low, float(np.quantile(covered / demand, 0.1)), 1e-9) if len(demand) else 1.0
-    return [(c, x * scale) for c, x in chosen.values()]
-
-
-def plan(histogram: dict[int, int], capacity: int, rounds: int = 160) -> Plan:
+def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, step: float, rate: float = 0.5, partial: int = 40) -> list[tuple[dict[int, int], int]]:
+    """Configurations and how many containers follow each; together they cover the demand exactly.
+
+    A configuration is priced over the ``partial`` least covered classes; where that leaves more than a
+    thousandth of the container empty, over all.
+    """
+    left, volume = demand.copy(), float((sizes * demand).sum())
+    runs: list[tuple[dict[int, int], int]] = []
+    while left.any():
+        open_ = np.flatnonzero(left)
+        covered = 1 - left / demand
+        mean = 1 - float((sizes * left).sum()) / volume
+        values = sizes * np.exp(rate * (mean - covered))
+        order = open_[np.lexsort((-sizes[open_], covered[open_]))]
+        config = price(values, sizes, left, capacity, order[:partial])
+        if len(order) > partial and sum(int(sizes[j]) * n for j, n in config.items()) < 0.999 * capacity:
+            config = price(values, sizes, left, capacity, open_)
+        times = max(1, int(step * min(int(left[j]) // n for j, n in config.items())))
+        for j, n in config.items():
+            left[j] -= n * times
+        runs.append((config, times))
+    return runs
+
+
+def plan(histogram: dict[int, int], capacity: int, steps: tuple[float, ...] = STEPS, gap: float = GAP) -> Plan:
     """Containers for ``histogram`` (length, at most the capacity, to number of items)."""
     upper = length_classes(capacity)
     lengths = np.array(sorted(histogram), np.int64)
     number = np.array([histogram[x] for x in lengths.tolist()], np.int64)
-    total = np.bincount(np.searchsorted(upper, lengths), weights=number, minlength=len(upper)).astype(np.int64)
+    # Prices proportional to lengths are feasible for the dual: no solution has fewer containers than the volume asks for.
+    least = -(-int((lengths * number).sum()) // capacity)
+    classes = np.searchsorted(upper, lengths)
+    total = np.bincount(classes, weights=number, minlength=len(upper)).astype(np.int64)
     present = np.flatnonzero(total)
-    # A class's size is its longest item that is there.
-    longest = np.zeros(len(upper), np.int64)
-    np.maximum.at(longest, np.searchsorted(upper, lengths), lengths)
-    sizes, left = longest[present], total[present].copy()
-    runs: list[list] = []  # [configuration, containers, room]
-    for config, x in sorted(solve(sizes, left.astype(float), capacity, rounds), key=lambda c: -c[1]):
-        used = config > 0
-        times = min(math.floor(x + 1e-9), int((left[used] // config[used]).min()))
-        if times > 0:
-            left -= config * times
-            runs.append([config.copy(), times, capacity - int((config * sizes).sum())])
-    for j in range(len(sizes) - 1, -1, -1):  # best fit, largest first, by runs of containers
-        size = int(sizes[j])
-        while left[j]:
-            fits = [r for r in runs if r[2] >= size]
-            if not fits:
-                break
-            run = min(fits, key=lambda r: r[2])
-            each = run[2] // size
-            full, rest = divmod(int(left[j]), each)
-            if full >= run[1]:
-                run[0][j] += each
-                run[2] -= each * size
-                left[j] -= each * run[1]
-                continue
-            for times, more in ((full, each), (1 if rest else 0, rest)):
-                if times:
-                    config = run[0].copy()
-                    config[j] += more
-                    runs.append([config, times, run[2] - more * size])
-                    run[1] -= times
-            left[j] = 0
-            if run[1] == 0:
-                runs.remove(run)
-        while left[j]:  # new containers, filled greedily with what is left
-            config, room = np.zeros(len(sizes), np.int64), capacity
-            for i in range(j, -1, -1):
-                take = min(int(left[i]), room // int(sizes[i])) if room >= sizes[i] else 0
-                config[i] = take
-                room -= take * int(sizes[i])
-            used = config > 0
-            times = int((left[used] // config[used]).min())
-            left -= config * times
-            runs.append([config, times, room])
-    slots, offset, first = [], np.zeros(len(sizes), np.int64), 0
-    for config, times, _ in runs:
-        for j in np.flatnonzero(config).tolist():
-            slots.append((int(present[j]), int(offset[j]), int(config[j]), first, int(times)))
-            offset[j] += config[j] * times
+    longest = np.zeros(len(upper), np.int64)  # a class's size is its longest item that is there
+    np.maximum.at(longest, classes, lengths)
+    best: list[tuple[dict[int, int], int]] = []
+    for step in steps:
+        runs = solve(longest[present], total[present], capacity, step)
+        if not best or sum(n for _, n in runs) < sum(n for _, n in best):
+            best = runs
+        if sum(n for _, n in best) <= math.ceil(least * (1 + gap)):
+            break
+    slots, offset, first = [], np.zeros(len(present), np.int64), 0
+    for config, times in best:
+        for j, each in sorted(config.items()):
+            slots.append((int(present[j]), int(offset[j]), each, first, times))
+            offset[j] += each * times
         first += times
-    return Plan(upper, slots, first)
+    return Plan(upper, slots, first, least)
 
 
-class _Places:
-    """Containers by class and rank, for whole columns at once."""
+def _planned(capacities: dict, schema: str):
+    """Solves one capacity's histogram: rows ``slot`` of the plan and, per length, its class and the rank its items start from."""
 
-    def __init__(self, plan_: Plan):
-        self.upper = plan_.upper
-        by: dict[int, list] = {}
-        for cls, *slot in plan_.slots:
-            by.setdefault(cls, []).append(slot)
-        self.by = {k: np.array(sorted(v)) for k, v in by.items()}
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        c = pdf["capacity_id"].iloc[0]
+        histogram = dict(zip(pdf["tokens"].tolist(), pdf["n"].tolist()))
+        made = plan(histogram, capacities[c])
+        rows = [(c, *s, None) for s in made.slots]
+        last, start = -1, 0
+        for length in sorted(histogram):
+            cls = int(np.searchsorted(made.upper, length))
+            start = start if cls == last else 0
+            rows.append((c, cls, start, None, None, None, length))
+            start, last = start + histogram[length], cls
+        out = pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
+        return out.astype({k: "Int64" for k in ("offset", "each", "first", "times", "tokens")})
 
-    def __call__(self, lengths: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-        classes = np.searchsorted(self.upper, lengths)
-        out = np.full(len(lengths), -1, np.int64)
-        for c in np.unique(classes).tolist():
-            mask = classes == c
-            slots = self.by[c]
-            row = slots[np.searchsorted(slots[:, 0], ranks[mask], "right") - 1]
-            out[mask] = row[:, 2] + (ranks[mask] - row[:, 0]) // row[:, 1]
-        return out
+    return run
 
 
 def pack(docs: DataFrame, capacities: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, max_capacities: int = 1000) -> DataFrame:
@@ -201,7 +179,8 @@ def pack_sizes(sizes: DataFrame, capacities: DataFrame, max_capacities: int = 10
     items = items.withColumn("full", F.when(F.col("size") > F.col("cap"), whole).otherwise(F.lit(0)).cast("long"))
     items = items.withColumn("rest", F.col("size") - F.col("full") * F.col("cap"))
     # Spread by a hash: no task ranks more than about RANK_ROWS items, whatever length is common.
-    salts = max(1, math.ceil(sizes.count() / RANK_ROWS))
+    rows, tokens = sizes.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    salts = max(1, math.ceil((rows + tokens / min(r[1] for r in listed)) / RANK_ROWS))
     pieces = items.select(
         "capacity_id", "cap", "id", "size",
         F.explode(F.when(F.col("full") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("full") - F.when(F.col("rest") == 0, 1).otherwise(0)))).alias("piece"),
@@ -214,38 +193,23 @@ def pack_sizes(sizes: DataFrame, capacities: DataFrame, max_capacities: int = 10
     )
     counts = pieces.where("tokens > 0").groupBy("capacity_id", "tokens", "salt").agg(F.count("*").alias("n"))
     counts = materialize(counts, "lengths-by-salt")
-    histograms: dict[int, dict[int, int]] = {}
-    # At most one row per capacity and length up to it.
-    for r in counts.groupBy("capacity_id", "tokens").agg(F.sum("n").alias("n")).toLocalIterator():
-        histograms.setdefault(r[0], {})[r[1]] = r[2]
-    limit = {r[0]: int(r[1]) for r in listed}
-    places = {c: _Places(plan(h, limit[c])) for c, h in histograms.items()}
-
-    # The class of a length decides its rank: ranks run over the lengths of a class in order.
+    # One task per capacity, whatever the adaptive planner thinks of so few rows; a group has at most as many rows as its capacity.
+    histograms = counts.groupBy("capacity_id", "tokens").agg(F.sum("n").alias("n")).repartitionByRange(len(listed), "capacity_id")
+    schema = f"capacity_id {kind}, class int, offset long, each long, first long, times long, tokens long"
+    made = materialize(histograms.groupBy("capacity_id").applyInPandas(_planned({r[0]: int(r[1]) for r in listed}, schema), schema), "packing-plan")
+
     before = F.sum("n").over(Window.partitionBy("capacity_id", "tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
-    shift: list[tuple] = []
-    for c, h in histograms.items():
-        upper, run, last = places[c].upper, 0, -1
-        for length in sorted(h):
-            cls = int(np.searchsorted(upper, length))
-            run = 0 if cls != last else run
-            shift.append((c, length, run))
-            run, last = run + h[length], cls
-    base = {(c, length): s for c, length, s in shift}
-    offsets = counts.withColumn("before", F.coalesce(before, F.lit(0))).drop("n")
+    starts = made.where("tokens is not null").select("capacity_id", F.col("tokens").cast("int").alias("tokens"), "class", F.col("offset").alias("start"))
+    offsets = counts.withColumn("before", F.coalesce(before, F.lit(0))).drop("n").join(starts, ["capacity_id", "tokens"])
     rank = F.row_number().over(Window.partitionBy("capacity_id", "tokens", "salt").orderBy("id", "piece")) - 1
     ranked = pieces.where("tokens > 0").withColumn("rank", rank).join(offsets, ["capacity_id", "tokens", "salt"])
-    ranked = ranked.select("capacity_id", "id", "piece", "tokens", (F.col("rank") + F.col("before")).alias("rank"))
-    id_kind = dict(sizes.dtypes)["id"]
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for c, part in b.groupby("capacity_id"):
-                lengths = part["tokens"].to_numpy()
-                add = np.array([base[(c, x)] for x in lengths.tolist()], np.int64)
-                yield part.assign(container_id=places[c](lengths, part["rank"].to_numpy() + add)).drop(columns="rank")
-
-    packed = ranked.mapInPandas(assign, f"capacity_id {kind}, id {id_kind}, piece int, tokens int, container_id long")
+    ranked = ranked.select("capacity_id", "id", "piece", "tokens", "class", (F.col("rank") + F.col("before") + F.col("start")).alias("rank"))
+    ranked = ranked.withColumn("part", F.floor(F.col("rank") / PLAN_RANKS))
+    runs = made.where("tokens is null").withColumn("part", F.explode(F.sequence(F.floor(F.col("offset") / PLAN_RANKS), F.floor((F.col("offset") + F.col("each") * F.col("times") - 1) / PLAN_RANKS))))
+    runs = runs.groupBy("capacity_id", "class", "part").agg(F.array_sort(F.collect_list(F.struct("offset", "each", "first"))).alias("runs"))  # at most PLAN_RANKS + 1
+    run = F.element_at(F.filter("runs", lambda r: r["offset"] <= F.col("rank")), -1)
+    packed = ranked.join(runs, ["capacity_id", "class", "part"]).withColumn("run", run)
+    packed = packed.select("capacity_id", "id", "piece", "tokens", (F.col("run.first") + F.floor((F.col("rank") - F.col("run.offset")) / F.col("run.each"))).alias("container_id"))
     empty = pieces.where("tokens = 0").select("capacity_id", "id", "piece", "tokens", F.lit(None).cast("long").alias("container_id"))
     return packed.unionByName(empty)
 
@@ -259,3 +223,23 @@ def fill_report(packed: DataFrame, capacities: DataFrame) -> DataFrame:
         "capacity_id", "containers", "tokens", F.ceil(F.col("tokens") / cap).alias("least_containers"),
         F.round(1 - F.col("tokens") / (F.col("containers") * cap), 6).alias("unused_share"),
     )
+
+
+def check(packed: DataFrame, capacities: DataFrame, id_col: str = "doc_id", gap: float = 0.005) -> DataFrame:
+    """``(capacity_id, documents, overfull, split_needlessly, unnumbered, over_gap)``: what a packing breaks, 0 if nothing.
+
+    ``documents``: distinct ids packed. ``overfull``: containers over the capacity; ``split_needlessly``: documents in pieces that fit
+    whole; ``unnumbered``: numbers below the greatest container id without a container; ``over_gap``: 1 if there are
+    more containers than the least possible by over ``gap``, and one.
+    """
+    caps = capacities.where("capacity_tokens > 0").select("capacity_id", "capacity_tokens").distinct()
+    load = packed.where("container_id is not null").groupBy("capacity_id", "container_id").agg(F.sum("tokens").alias("load")).join(caps, "capacity_id")
+    per = load.groupBy("capacity_id").agg(
+        F.count_if(F.col("load") > F.col("capacity_tokens")).alias("overfull"), (F.max("container_id") + 1 - F.count("*")).alias("unnumbered"), F.count("*").alias("n"), F.sum("load").alias("tokens"), F.first("capacity_tokens").alias("cap"),
+    )
+    whole = packed.groupBy("capacity_id", id_col).agg(F.count("*").alias("pieces"), F.sum("tokens").alias("tokens"), F.count_distinct("piece").alias("numbers"))
+    whole = whole.join(caps, "capacity_id").groupBy("capacity_id").agg(
+        F.count("*").alias("documents"), F.count_if((F.col("numbers") > 1) & (F.col("tokens") <= F.col("capacity_tokens"))).alias("split_needlessly")
+    )
+    over = (F.col("n") > F.ceil(F.ceil(F.col("tokens") / F.col("cap")) * (1 + gap)) + 1).cast("long")
+    return whole.join(per, "capacity_id").select("capacity_id", "documents", "overfull", "split_needlessly", "unnumbered", over.alias("over_gap"))

@@ -61,6 +61,12 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(packing.pack(read(spark, folder, "documents"), capacities), capacities)
 
 
+def p6_check(spark: SparkSession, folder: str) -> DataFrame:
+    """What the packing breaks: nothing, and every document is in it."""
+    capacities = read(spark, folder, "pack_capacities")
+    return packing.check(packing.pack(read(spark, folder, "documents"), capacities), capacities)
+
+
 def p7_mixed(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.ordered_mix(mixing.mix(mixing.queue(read(spark, folder, "documents")), read(spark, folder, "mix_targets"), budget="sources"))
 
@@ -94,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_neighbours": p5_neighbours,
     "p6_packed": p6_packed,
     "p6_fill": p6_fill,
+    "p6_check": p6_check,
     "p7_mixed": p7_mixed,
     "p7_shares": p7_shares,
     "p8_found": p8_found,
@@ -119,6 +126,9 @@ total AS (SELECT count(DISTINCT doc_id) AS docs FROM chunks),
 stats AS (SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS records FROM tokens GROUP BY term)
 """
 SQL: dict[str, str] = {
+    "p6_check": """
+SELECT capacity_id, (SELECT count(DISTINCT doc_id) FROM documents) AS documents, 0::BIGINT AS overfull, 0::BIGINT AS split_needlessly, 0::BIGINT AS unnumbered, 0::BIGINT AS over_gap
+FROM (SELECT DISTINCT capacity_id FROM pack_capacities)""",
     "p1_found": _P1 + "SELECT rep AS copy_rep, chunk_id FROM ranked WHERE rep <> chunk_id",
     "p1_kept": _P1 + "SELECT c.chunk_id, coalesce(r.copies, 1) AS copies FROM chunks c LEFT JOIN ranked r USING (chunk_id) WHERE r.rep IS NULL OR r.rep = c.chunk_id",
     "p3_found": r"""

@@ -16,27 +16,48 @@ def test_price_is_optimal():
         best = max(
             (sum(v * n for v, n in zip(values, c)) for c in np.ndindex(*(have + 1)) if sum(s * n for s, n in zip(sizes, c)) <= 25), default=0
         )
-        got = p.price(values, sizes, have, 25)
-        assert (got <= have).all() and (got * sizes).sum() <= 25 and (got * values).sum() == pytest.approx(best)
+        got = p.price(values, sizes, have, 25, np.arange(4))
+        assert all(n <= have[j] for j, n in got.items()) and sum(n * sizes[j] for j, n in got.items()) <= 25
+        assert sum(n * values[j] for j, n in got.items()) == pytest.approx(best)
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_plan_places_every_item_once(seed):
+def test_plan_covers_every_item_once(seed):
     rng = np.random.default_rng(seed)
     lengths = np.minimum(200, rng.lognormal(3.2, 1, 3000).astype(int) + 1)
     h = Counter(lengths.tolist())
     plan = p.plan(h, 200)
-    places = p._Places(plan)
-    per_class = Counter()
-    load, seen = Counter(), set()
-    for x in sorted(lengths.tolist()):
+    longest, number = {}, Counter()
+    for x, n in h.items():
         c = int(np.searchsorted(plan.upper, x))
-        at = int(places(np.array([x]), np.array([per_class[c]]))[0])
-        per_class[c] += 1
-        load[at] += x
-        seen.add(at)
-    assert max(load.values()) <= 200 and seen == set(range(plan.containers))
-    assert plan.containers <= 1.02 * -(-int(lengths.sum()) // 200) + 1
+        longest[c] = max(x, longest.get(c, 0))
+        number[c] += n
+    covered, load = Counter(), Counter()
+    for cls, offset, each, first, times in plan.slots:
+        assert offset == covered[cls]
+        covered[cls] += each * times
+        for i in range(first, first + times):
+            load[i] += each * longest[cls]
+    assert covered == number and max(load.values()) <= 200 and set(load) == set(range(plan.containers))
+    assert plan.least == -(-int(lengths.sum()) // 200) and plan.containers <= 1.005 * plan.least + 1
+
+
+def test_plan_beats_best_fit_decreasing():
+    rng = np.random.default_rng(7)
+    lengths = np.minimum(512, rng.lognormal(5, 0.8, 4000).astype(int) + 1)
+    rooms = np.zeros(0, np.int64)
+    for x in sorted(lengths.tolist(), reverse=True):
+        fits = np.flatnonzero(rooms >= x)
+        if len(fits):
+            rooms[fits[np.argmin(rooms[fits])]] -= x
+        else:
+            rooms = np.append(rooms, 512 - x)
+    assert p.plan(Counter(lengths.tolist()), 512).containers <= len(rooms)
+
+
+def test_plan_of_few_items():
+    assert p.plan({7: 1}, 7).containers == 1 and p.plan({4: 3}, 7).containers == 3
+    assert p.plan({3: 2, 4: 2}, 7).containers == 2
 
 
 def test_pack_table(spark, rows_of):
@@ -78,3 +99,10 @@ def test_hot_length_is_spread(spark, monkeypatch):
     out = p.pack_sizes(df, spark.createDataFrame([(1, 64)], CAPS))
     load = {r[0]: r[1] for r in out.groupBy("container_id").agg(F.sum("tokens")).collect()}
     assert out.count() == 1000 and max(load.values()) <= 64
+
+
+def test_check_sees_faults(spark):
+    caps = spark.createDataFrame([(1, 10)], CAPS)
+    rows = [(1, 1, 0, 6, 0), (1, 2, 0, 6, 0), (1, 3, 0, 2, 2), (1, 3, 1, 2, 3)]
+    out = p.check(spark.createDataFrame(rows, "capacity_id int, doc_id long, piece int, tokens int, container_id long"), caps).first()
+    assert (out.documents, out.overfull, out.split_needlessly, out.unnumbered) == (3, 1, 1, 1)

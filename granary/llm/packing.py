@@ -32,7 +32,7 @@ RANK_ROWS = 100_000
 #: Ranks of a class that share a row of the plan.
 PLAN_RANKS = 1024
 #: Width of a length class; how far the plan may be from the lower bound before smaller steps are tried; the steps.
-CLASS_RATIO, GAP, STEPS = 1.003, 0.0015, (0.5, 0.25, 0.125)
+CLASS_RATIO, GAP, STEPS = 1.003, 0.001, (0.5, 0.25)
 
 
 @dataclass
@@ -80,19 +80,21 @@ def price(values: np.ndarray, sizes: np.ndarray, available: np.ndarray, capacity
     return counts
 
 
-def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, step: float, rate: float = 0.5, partial: int = 40) -> list[tuple[dict[int, int], int]]:
+def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, step: float, rate: float = 0.1, tilt: float = 0.05, partial: int = 40) -> list[tuple[dict[int, int], int]]:
     """Configurations and how many containers follow each; together they cover the demand exactly.
 
+    Prices start a little more than proportional to length (``tilt``), since fewer configurations take the long classes.
     A configuration is priced over the ``partial`` least covered classes; where that leaves more than a
     thousandth of the container empty, over all.
     """
     left, volume = demand.copy(), float((sizes * demand).sum())
+    start = sizes * (sizes / capacity) ** tilt
     runs: list[tuple[dict[int, int], int]] = []
     while left.any():
         open_ = np.flatnonzero(left)
         covered = 1 - left / demand
         mean = 1 - float((sizes * left).sum()) / volume
-        values = sizes * np.exp(rate * (mean - covered))
+        values = start * np.exp(rate * (mean - covered))
         order = open_[np.lexsort((-sizes[open_], covered[open_]))]
         config = price(values, sizes, left, capacity, order[:partial])
         if len(order) > partial and sum(int(sizes[j]) * n for j, n in config.items()) < 0.999 * capacity:

@@ -39,8 +39,14 @@ def p4_terms(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_phrases(spark: SparkSession, folder: str) -> DataFrame:
     """Every sequence of two words, with its occurrences and documents."""
-    grams = term_counts.ngram_counts(read(spark, folder, "chunks"), max_n=2)
-    return grams.where("n = 2").select(F.col("gram").alias("phrase"), "occurrences", "records")
+    grams = term_counts.ngram_counts(read(spark, folder, "chunks"), sizes=(2,))
+    return grams.select(F.col("gram").alias("phrase"), "occurrences", "records")
+
+
+def p4_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Every sequence of twelve words that occurs more than once, with its occurrences and documents."""
+    grams = term_counts.ngram_counts(read(spark, folder, "chunks"), sizes=(12,))
+    return grams.where("occurrences > 1").select(F.col("gram").alias("passage"), "occurrences", "records")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_terms": p4_terms,
     "p4_phrases": p4_phrases,
+    "p4_passages": p4_passages,
     "p5_found": p5_found,
     "p5_neighbours": p5_neighbours,
     "p6_packed": p6_packed,
@@ -145,4 +152,8 @@ FROM stats, total""",
 WITH w AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM chunks),
 pairs AS (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS phrase FROM w WHERE len(w) > 1)
 SELECT phrase, count(*) AS occurrences, count(DISTINCT doc_id) AS records FROM pairs GROUP BY phrase""",
+    "p4_passages": rf"""
+WITH w AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM chunks),
+runs AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS passage FROM w WHERE len(w) > 11)
+SELECT passage, count(*) AS occurrences, count(DISTINCT doc_id) AS records FROM runs GROUP BY passage HAVING count(*) > 1""",
 }

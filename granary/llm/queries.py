@@ -27,6 +27,12 @@ def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_oversized(read(spark, folder, "loaded_documents"), read(spark, folder, "split_limits"))
 
 
+def p3_check(spark: SparkSession, folder: str) -> DataFrame:
+    """What the pieces break: nothing, and they reach the end of every text."""
+    pieces = splitting.split_oversized(read(spark, folder, "loaded_documents"), read(spark, folder, "split_limits"))
+    return splitting.check(pieces).drop("pieces")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     terms = term_counts.marked_terms(read(spark, folder, "chunks"))
     return terms.select(F.col("gram").alias("term"), F.explode("mark").alias("mark"))
@@ -82,6 +88,12 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(mixing.mix(mixing.queue(read(spark, folder, "documents")), targets, budget="sources"), targets)
 
 
+def p7_check(spark: SparkSession, folder: str) -> DataFrame:
+    """What the mixes break: nothing."""
+    queued, targets = mixing.queue(read(spark, folder, "documents")), read(spark, folder, "mix_targets")
+    return mixing.check(mixing.mix(queued, targets, budget="sources"), queued, targets)
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return personal_data.found_mentions(read(spark, folder, "documents"), read(spark, folder, "name_list"))
 
@@ -99,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_kept": p1_kept,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
+    "p3_check": p3_check,
     "p4_found": p4_found,
     "p4_terms": p4_terms,
     "p4_phrases": p4_phrases,
@@ -110,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_check": p6_check,
     "p7_mixed": p7_mixed,
     "p7_shares": p7_shares,
+    "p7_check": p7_check,
     "p8_found": p8_found,
     "p8_replaced": p8_replaced,
     "p8_surrogates": p8_surrogates,
@@ -127,12 +141,22 @@ WITH fields AS (
   SELECT chunk_id, 'card ' || string_agg(field, ';' ORDER BY field) FROM fields WHERE field <> '' GROUP BY chunk_id
 ), ranked AS (SELECT chunk_id, min(chunk_id) OVER (PARTITION BY key) AS rep, count(*) OVER (PARTITION BY key) AS copies FROM keys)
 """
+_P5 = """
+WITH v AS (SELECT DISTINCT chunk_id, embedding::DOUBLE[] AS e FROM chunk_vectors WHERE chunk_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+  AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT a.chunk_id AS id, b.chunk_id AS neighbour, max(list_cosine_similarity(a.e, b.e)) AS similarity FROM v a JOIN v b ON a.chunk_id <> b.chunk_id GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(similarity, 9) DESC, neighbour) AS rank FROM s QUALIFY rank <= 5)
+"""
 _P4 = rf"""
 WITH tokens AS (SELECT doc_id, unnest({_WORDS.format("text")}) AS term FROM chunks),
 total AS (SELECT count(DISTINCT doc_id) AS docs FROM chunks),
 stats AS (SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS records FROM tokens GROUP BY term)
 """
 SQL: dict[str, str] = {
+    "p3_check": "SELECT source_identity, length(content) AS chars, 0::BIGINT AS too_long, 0::BIGINT AS gaps, 0::BIGINT AS overlaps FROM loaded_documents WHERE length(content) > 0",
+    "p5_found": _P5 + "SELECT a.id AS chunk_a, a.neighbour AS chunk_b FROM n a JOIN n b ON a.id = b.neighbour AND a.neighbour = b.id WHERE a.id < a.neighbour AND a.similarity >= 0.90",
+    "p5_neighbours": _P5 + "SELECT id AS chunk_id, neighbour, round(similarity, 6) AS similarity, rank FROM n",
+    "p7_check": "SELECT mix_id, count(DISTINCT source) AS sources, 0::BIGINT AS over_cap, 0::BIGINT AS lagging FROM mix_targets WHERE source IS NOT NULL AND target_share > 0 GROUP BY mix_id",
     "p6_check": """
 SELECT capacity_id, (SELECT count(DISTINCT doc_id) FROM documents) AS documents, 0::BIGINT AS overfull, 0::BIGINT AS split_needlessly, 0::BIGINT AS unnumbered, 0::BIGINT AS over_gap
 FROM (SELECT DISTINCT capacity_id FROM pack_capacities)""",

@@ -21,7 +21,8 @@ _BLANKS = np.array([9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x
 _STOPS = np.array([ord(c) for c in ".!?…。！？"], np.uint32)
 _CLOSERS = np.array([ord(c) for c in "\"')]}»”’"], np.uint32)
 #: The characters that break a run, as the limit on unbreakable runs defines them.
-_RUN_BREAKS = np.array([9, 10, 13, 32], np.uint32)
+RUN_BREAKS = "\t\n\r "
+_RUN_BREAKS = np.array([ord(c) for c in RUN_BREAKS], np.uint32)
 
 
 def points(text: str) -> np.ndarray:
@@ -114,7 +115,7 @@ def longest_run(cp: np.ndarray) -> int:
     return int(np.diff(np.concatenate([[-1], stops, [len(cp)]])).max()) - 1 if len(cp) else 0
 
 
-_PIECE = "item string, doc_chunk_index int, char_start int, char_end int, text string, cut string, n_chars int, longest_run int, max_chars int, overlap_chars int"
+_PIECE = "item string, doc_chunk_index int, char_start int, char_end int, text string, cut string, run_cuts int, n_chars int, longest_run int, max_chars int, overlap_chars int"
 
 
 def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,19 +127,23 @@ def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             limit_ = int(limit) if bounded else max(1, len(content))
             overlap_ = int(overlap) if overlap is not None and overlap == overlap else 0
             run = longest_run(points(content)) if len(content) > limit_ else 0
+            cuts = 0
             for i, (s, e, kind) in enumerate(split(content, limit_, overlap_)):
-                rows.append((item, i, s, e, content[s:e], CUT_NAMES[kind], len(content), run, limit_ if bounded else None, overlap_))
+                inside = e < len(content) and content[e - 1] not in RUN_BREAKS and content[e] not in RUN_BREAKS
+                cuts += inside
+                rows.append((item, i, s, e, content[s:e], CUT_NAMES[kind], cuts if inside else 0, len(content), run, limit_ if bounded else None, overlap_))
         out = pd.DataFrame(rows, columns=columns)
         out["max_chars"] = out["max_chars"].astype("Int32")
         yield out
 
 
 def split_oversized(docs: DataFrame, limits: DataFrame, id_col: str = "source_identity", text_col: str = "content", type_col: str = "file_type") -> DataFrame:
-    """Pieces of every document: ``source_identity, doc_chunk_index, char_start, char_end, text, cut, n_chars, longest_run, max_chars, overlap_chars``.
+    """Pieces of every document: ``source_identity, doc_chunk_index, char_start, char_end, text, cut, run_cuts, n_chars, longest_run, max_chars, overlap_chars``.
 
     Offsets and lengths count code points. Documents within the limit, and those whose
     type is null or has no limit, come out whole; null or empty content yields no piece.
-    ``cut`` says what the piece ends at. ``longest_run`` (0 unless oversized) is the
+    ``cut`` says what the piece ends at; ``run_cuts`` numbers the cuts of a document that fall inside a run without
+    blanks, 0 for other pieces. ``longest_run`` (0 unless oversized) is the
     longest run without blanks. A null id is kept; repeated rows yield repeated pieces.
     """
     bounds = limits.where(F.col("file_type").isNotNull()).groupBy("file_type").agg(F.min("max_chars").alias("max_chars"), F.min("overlap_chars").alias("overlap_chars"))
@@ -148,7 +153,28 @@ def split_oversized(docs: DataFrame, limits: DataFrame, id_col: str = "source_id
 
 
 def oversized_findings(docs: DataFrame, limits: DataFrame) -> DataFrame:
-    """``(source_identity, finding)``: ``oversized`` and ``unbreakable`` documents, read off their pieces."""
-    first = split_oversized(docs, limits).where("doc_chunk_index = 0 and n_chars > max_chars")
-    finding = F.array_compact(F.array(F.lit("oversized"), F.when(F.col("longest_run") > F.col("max_chars"), F.lit("unbreakable"))))
-    return first.select("source_identity", F.explode(finding).alias("finding"))
+    """``(source_identity, finding)``: ``oversized`` and ``unbreakable`` documents, read off their pieces.
+
+    A document is oversized if its first piece does not reach its end. A run longer than the limit fits in no
+    piece, so some piece ends inside of it: of documents with such a cut the longest run decides.
+    """
+    pieces = split_oversized(docs, limits)
+    oversized = (F.col("doc_chunk_index") == 0) & (F.col("char_end") < F.col("n_chars"))
+    unbreakable = (F.col("run_cuts") == 1) & (F.col("longest_run") > F.col("max_chars"))
+    finding = F.array_compact(F.array(F.when(oversized, F.lit("oversized")), F.when(unbreakable, F.lit("unbreakable"))))
+    return pieces.select("source_identity", F.explode(finding).alias("finding"))
+
+
+def check(pieces: DataFrame, id_col: str = "source_identity") -> DataFrame:
+    """``(source_identity, pieces, chars, too_long, gaps, overlaps)`` per document: pieces over the limit and places where
+    the next piece leaves a gap or steps back further than allowed; ``chars`` is where the last piece ends."""
+    from pyspark.sql.window import Window
+
+    before = F.lag("char_end").over(Window.partitionBy(id_col).orderBy("doc_chunk_index"))
+    rows = pieces.withColumn("before", before)
+    first = F.col("doc_chunk_index") == 0
+    gap = F.when(first, F.col("char_start") > 0).otherwise(F.col("before").isNull() | (F.col("char_start") > F.col("before")) | (F.col("char_end") <= F.col("before")))
+    wide = ~first & (F.col("before") - F.col("char_start") > F.col("overlap_chars"))
+    return rows.groupBy(id_col).agg(
+        (F.max("doc_chunk_index") + 1).cast("long").alias("pieces"), F.max("char_end").cast("long").alias("chars"), F.count_if(F.length("text") > F.col("max_chars")).alias("too_long"), F.count_if(gap).alias("gaps"), F.count_if(wide).alias("overlaps"),
+    )

@@ -104,9 +104,9 @@ def mix(queued: DataFrame, targets: DataFrame, budget: int | str | None = None)
     order = ["mix_id", "finish", "source", "doc_id", "copy"]
     rows = materialize(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "mix-ranges")
     ahead = F.sum("n").over(Window.partitionBy("mix_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
-    ranges = rows.groupBy("mix_id", "range").agg(F.sum("tokens").alias("n")).select("mix_id", "range", F.coalesce(ahead, F.lit(0)).alias("ahead"))
+    ranges = rows.groupBy("mix_id", "range").agg(F.sum("tokens").alias("n")).select(F.col("mix_id").alias("m"), F.col("range").alias("r"), F.coalesce(ahead, F.lit(0)).alias("ahead"))
     within = F.sum("tokens").over(Window.partitionBy("mix_id", "range").orderBy(*order[1:]).rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("within", within).join(ranges, ["mix_id", "range"])
+    rows = rows.withColumn("within", within).join(ranges, (F.col("range") == F.col("r")) & F.col("mix_id").eqNullSafe(F.col("m")))
     return rows.where(F.col("ahead") + F.col("within") <= F.col("total")).select("mix_id", "source", "doc_id", "copy", "tokens", "finish")
 
 

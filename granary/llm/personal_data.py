@@ -1,12 +1,15 @@
 """Personal data in free text: finding it and replacing it.
 
 Detection is anchored on what is rare: ``@`` and its substitutes, groups of digits, street
-words, and family names. Family names are taken apart into the stems and endings that the
-list of known names shows, so that unlisted combinations are recognised too.
+words, family names, and given names or titles before a capitalised word. Family names of the list are
+taken apart into stems and endings, so that unlisted combinations are recognised in any case too.
 
 Replacement is keyed and consistent over the corpus: equal entities get equal surrogates,
-different ones different surrogates (collisions are found by a join over all entities and
-re-keyed), and a surrogate keeps its original's type, script, case and format.
+different ones different surrogates, none that of an original (collisions are found by a join over all
+entities and re-keyed), and a surrogate keeps its original's type, script, gender, case and format. A person's
+given and family name are entities of their own, and initials follow a keyed permutation of the
+alphabet: "A. Smith" stays the initial of what "Anna Smith" becomes. Telephone numbers are
+compared in international form and keep their country code.
 """
 
 from __future__ import annotations
@@ -20,7 +23,6 @@ from hashlib import blake2b
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from granary.session import materialize
 
@@ -61,19 +63,22 @@ _PHONE = re.compile(
 _ID_SHAPE = r"[A-Z]{2}\s?\d\d\s?\d\d\s?\d\d\s?[A-D]|\d{3}-\d\d-\d{4}|\d{3}\s\d\d\s\d{4}|[XYZ]-?\d{7}-?[A-Z]|\d{8}-?[A-Z]"
 _ID_LABELLED = (
     rf"{_ID_SHAPE}|[A-Z]\d\d[A-Z]\d{{5}}|[A-Z]{{1,3}}\d{{6,9}}[A-Z]?|\d\d\s\d{{3}}\s\d{{3}}\s\d{{3}}|\d{{3}}\s\d{{3}}\s\d{{5}}|\d{{11}}|\d\d[A-Z]{{2}}\d{{5}}"
-    r"|\d\s\d\d\s\d\d\s\d\w\s\d{3}\s\d{3}(?:\s\d\d)?|\d{13,15}|[A-Z0-9]{9}"
+    r"|\d\s\d\d\s\d\d\s\d\w\s\d{3}\s\d{3}(?:\s\d\d)?|\d{3}[\s.-]\d{3}[\s.-]\d{3}(?:-?\d\d)?|\d{12,15}|[A-Z0-9]{9}"
 )
 _ID_LABEL = (
     r"passport(?:\s+(?:no\.?|number|nr\.?))?|(?:driving\s+)?licen[cs]e(?:\s+(?:no\.?|number))?|social\s+security\s+(?:number|no\.?)|national\s+insurance\s+(?:number|no\.?)"
     r"|\bID(?:\s+(?:is|card|number|no\.?))+|tax\s+(?:id|number|no\.?)|insurance\s+(?:number|no\.?)|identity\s+(?:card|number)"
     r"|personalausweis(?:nummer)?|ausweisnummer|ausweis(?:-nr\.?|\s+nr\.?)|reisepass(?:nummer)?|steuer-?\s?(?:id|nummer)|sozialversicherungsnummer|f[üu]hrerschein(?:nummer)?|versichertennummer"
     r"|pi[èe]ce\s+d['’]identit[ée]|carte\s+d['’]identit[ée]|passeport|permis\s+de\s+conduire|s[ée]curit[ée]\s+sociale|num[ée]ro\s+fiscal"
-    r"|\bDNI|\bNIE|\bNIF|documento\s+de\s+identidad|pasaporte|seguridad\s+social|permiso\s+de\s+conducir"
+    r"|\bCNI|\bSIN|\bSSN|\bBSN|\bCPF|\bPESEL|\bDNI|\bNIE|\bNIF|documento\s+de\s+identidad|pasaporte|seguridad\s+social|permiso\s+de\s+conducir"
 )
 _ID_BY_LABEL = re.compile(rf"(?:{_ID_LABEL})(?:\s+(?:n\.?[°ºo]\.?|nr\.?|no\.?|num\w*|number|is|ist|est|es))?\s*[:#]?\s*((?-i:{_ID_LABELLED}))(?![\w-])", re.I)
 #: In lower case, one of these is in every text that has a label.
-_ID_ANCHORS = ("passp", "licen", "security", "insurance", "id is", "id card", "id n", "tax ", "identi", "nummer", "ausweis", "reisepass", "steuer", "permis", "fiscal", "sociale", "dni ", "dni:", "nie ", "nif ", "pasaporte", "seguridad")
+_ID_ANCHORS = ("passp", "licen", "security", "insurance", "id is", "id card", "id n", "tax ", "identi", "nummer", "ausweis", "reisepass", "steuer", "permis", "fiscal", "sociale", "cni ", "cni:", "sin ", "sin:", "ssn ", "ssn:", "bsn ", "bsn:", "cpf ", "cpf:", "pesel", "dni ", "dni:", "nie ", "nif ", "pasaporte", "seguridad")
 _ID_BY_SHAPE = re.compile(rf"(?<![\w-])(?<!\d[ .,/])(?:{_ID_SHAPE})(?![\w-])(?!\s\d)")
+#: After one of these, seven to fifteen digits are a telephone number whatever their grouping.
+_PHONE_BY_LABEL = re.compile(r"\b(?:phone|telephone|tel|mobile|cell|whatsapp|fax|telefon|handy|mobil|téléphone|teléfono|móvil|portable)(?:\s+(?:no\.?|number|nr\.?|is))?\s*[.:]*\s*([+(]{0,2}\d(?:[-/.() ]{0,2}\d){6,14})(?![\w])(?![-./,]\d)", re.I)
+_PHONE_LABELS = ("phone", "tel", "mobil", "cell", "whatsapp", "fax", "handy", "téléphone", "móvil", "portable")
 #: One record to a line, parts by semicolons: the part after the name.
 _ID_IN_RECORD = re.compile(rf";\s?({_ID_LABELLED})\s?;")
 
@@ -164,8 +169,9 @@ def _persons(text: str, low: str, names: Names, taken: list[tuple[int, int]]) ->
         if not m or not names.is_family(m[0]):
             continue
         end = m.end()
+        family_end = end
         if text[end : end + 1] == "-" and (m2 := _WORD.match(text, end + 1)) and names.is_family(m2[0]):
-            end = m2.end()
+            end = family_end = m2.end()
         after = text[end : end + 1]
         if after and (after in "_@+" or after in ".-" and text[end + 1 : end + 2].isalnum() or after.isalnum()):
             continue
@@ -202,22 +208,89 @@ def _persons(text: str, low: str, names: Names, taken: list[tuple[int, int]]) ->
             done = end
             continue
         done = end
-        yield start, end, f"{called.lower().rstrip('.')} {' '.join(_fold(text[at:m.end()]).split())}"
+        yield start, end, f"{_fold(called).rstrip('.')} {_fold(text[at:family_end])}"
+
+
+#: Two or three words with capitals, the middle one an initial if there is one; Latin, Greek and Cyrillic.
+_UPPER, _LOWER = "A-ZÀ-ÖØ-ÞĀŁŚŠŻŽΑ-ΩА-ЯЁ", "a-zß-öø-ÿāąćčęěłńňřśšůźżžΆ-ώа-яё"
+_PAIR = re.compile(rf"(?<![\w@.+-])(?!(?:Mr|Mister|Sir|Herrn?|Hr|Señora?|Señorita|Sra?|Srta|Don|Doña|Monsieur|M[rs]s?|Miss|Madame?|Frau|Fr|Mme|Mlle|Dr|Prof)\b)([{_UPPER}][{_LOWER}]+(?:-[{_UPPER}][{_LOWER}]+)?)[ \t]+(?:[{_UPPER}]\.[ \t]*)?((?:(?:van|von|de|del|della|di|da|le|la|al|el|bin|ben)[ \t]+)?(?:[OD]['’]|M[a]?c)?[{_UPPER}][{_LOWER}]+(?:[-'’][{_UPPER}][{_LOWER}]+)*)(?![\w@]|[.+_-]\w)")
+#: Titles by gender; a capitalised pair after one is a person's name.
+_TITLES = {"mr": "m", "mister": "m", "sir": "m", "herr": "m", "herrn": "m", "hr": "m", "señor": "m", "sr": "m", "don": "m", "monsieur": "m",
+           "ms": "f", "mrs": "f", "miss": "f", "madam": "f", "frau": "f", "fr": "f", "señora": "f", "señorita": "f", "sra": "f", "srta": "f", "doña": "f", "madame": "f", "mme": "f", "mlle": "f",
+           "dr": "", "prof": ""}
+_BEFORE = re.compile(r"([^\W\d_]+)\.?\s+$")
+
+
+def _pairs(text: str, names: Names, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
+    """Persons outside of the list: a known given name, or any after a title, before a capitalised word."""
+    for m in _PAIR.finditer(text):
+        first, family = m[1], m[2]
+        if any(a < m.end() and m.start() < b for a, b in taken) or family.lower() in names.given or family.lower() in NO_GIVEN or names.is_family(family):
+            continue
+        before = _BEFORE.search(text[max(0, m.start() - 25) : m.start()])
+        word = before[1].lower() if before else ""
+        if word in VESSELS:
+            continue
+        given = _fold(first)
+        if word in _TITLES and len(word) > 1 and first.lower() not in NO_GIVEN or first.lower() in names.given or given in _FEMALE or given in _MALE:
+            if first.lower() not in NO_GIVEN and first.lower() not in VESSELS and not _place(family):
+                yield m.start(), m.end(), f"{given} {_fold(family)}"
+
+
+def _place(word: str) -> bool:
+    """Whether a word is one of those that name streets and stations."""
+    return bool(re.fullmatch(rf"(?:{_STREET_EN}|{_STREET_FR}|Station|Dock|Ring|Bay|Port|Harbou?r|Pier|Clamp|Valve)", word, re.I))
+
+
+def _titled(text: str, start: int) -> str:
+    """The gender that a title before a name tells, if one does."""
+    m = _BEFORE.search(text[max(0, start - 15) : start])
+    return _TITLES.get(m[1].lower(), "") if m else ""
 
 
 def _fold(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
 
 
-def mentions(text: str, names: Names) -> list[tuple[str, int, int, str]]:
-    """``(kind, start, end, canonical)`` of all personal data in a text, in order, not overlapping."""
-    out: list[tuple[str, int, int, str]] = []
+#: Country codes of one and two digits (fixed values of the public numbering plan); all others have three.
+_COUNTRY = frozenset(
+    """
+    1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49
+    51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86
+    90 91 92 93 94 95 98
+    """.split()
+)
+
+
+def phone_number(surface: str) -> str:
+    """``country:number`` without trunk digit; the country of a national number follows from its grouping, if at all."""
+    digits = re.sub(r"\D", "", surface)
+    if surface.lstrip("( ").startswith("+") or digits.startswith("00"):
+        digits = digits.removeprefix("00") if not surface.lstrip("( ").startswith("+") else digits
+        code = next((digits[:n] for n in (1, 2) if digits[:n] in _COUNTRY), digits[:3])
+        return f"{code}:{digits[len(code):].removeprefix('0')}"
+    if digits.startswith("0"):
+        pairs = re.search(r"0\d(?:[^\d]\d\d){4}$", surface)
+        code = "33" if pairs else "44" if re.search(r"0\d{4}\s\d{3}\s?\d{3}$", surface) else "49"
+        return f"{code}:{digits[1:]}"
+    if len(digits) == 11 and digits.startswith("1"):
+        return f"1:{digits[1:]}"
+    return f"{'1' if len(digits) == 10 else '34' if len(digits) == 9 else ''}:{digits}"
+
+
+def mentions(text: str, names: Names) -> list[tuple[str, int, int, str, str]]:
+    """``(kind, start, end, canonical, gender)`` of all personal data in a text, in order, not overlapping.
+
+    ``canonical`` is equal for mentions of one entity: an initial stands for the given name where one person of the family
+    in the text has it; ``gender`` is what a title says, for persons.
+    """
+    out: list[tuple[str, int, int, str, str]] = []
     taken: list[tuple[int, int]] = []
 
     def add(kind: str, start: int, end: int, canonical: str) -> None:
         if not any(a < end and start < b for a, b in taken):
             taken.append((start, end))
-            out.append((kind, start, end, canonical))
+            out.append((kind, start, end, canonical, _titled(text, start) if kind == "person" else ""))
 
     low = text.lower()
     if len(low) != len(text):
@@ -229,15 +302,20 @@ def mentions(text: str, names: Names) -> list[tuple[str, int, int, str]]:
     for k in _ID_ANCHORS:
         at = low.find(k)
         while at >= 0:
-            m = _ID_BY_LABEL.search(text, max(0, at - 25), min(len(text), at + 90))
-            if m and any(c.isdigit() for c in m[1]):
-                add("id_number", m.start(1), m.end(1), re.sub(r"\W", "", m[1]).upper())
+            edge = min(len(text), at + 90)
+            for m in _ID_BY_LABEL.finditer(text, max(0, at - 25), edge):
+                # A number at the edge of the window may go on behind it.
+                if any(c.isdigit() for c in m[1]) and (m.end() < edge or edge == len(text)):
+                    add("id_number", m.start(1), m.end(1), re.sub(r"\W", "", m[1]).upper())
             at = low.find(k, at + len(k))
     if text.count(";") > 1:
         for m in _ID_IN_RECORD.finditer(text):
             add("id_number", m.start(1), m.end(1), re.sub(r"\W", "", m[1]).upper())
     for m in _DIGITS.finditer(text):
         _number(text, m.start(), m.end(), add)
+    if any(k in low for k in _PHONE_LABELS):
+        for m in _PHONE_BY_LABEL.finditer(text):
+            add("phone", m.start(1), m.end(1), phone_number(m[1]))
     for m in _ADDRESS_BY_NUMBER.finditer(text):
         add("address", m.start(), m.end(), " ".join(_fold(m[0]).split()))
     for pattern, anchors in _BY_STREET:
@@ -246,7 +324,28 @@ def mentions(text: str, names: Names) -> list[tuple[str, int, int, str]]:
                 add("address", m.start(), m.end(), " ".join(_fold(m[0]).split()))
     for start, end, canonical in _persons(text, low, names, taken):
         add("person", start, end, canonical)
-    return sorted(out, key=lambda x: x[1])
+    for start, end, canonical in _pairs(text, names, taken):
+        add("person", start, end, canonical)
+    return _linked(sorted(out, key=lambda x: x[1]))
+
+
+def _linked(found: list[tuple[str, int, int, str, str]]) -> list[tuple[str, int, int, str, str]]:
+    """Initials resolved to the one given name of the family they can stand for in this text."""
+    full: dict[tuple[str, str], set[str]] = {}
+    for kind, _, _, canonical, _ in found:
+        if kind == "person":
+            given, family = canonical.split(" ", 1)
+            if len(given) > 1:
+                full.setdefault((given[0], family), set()).add(given)
+    if not full:
+        return found
+    out = []
+    for x in found:
+        given, _, family = x[3].partition(" ")
+        if x[0] == "person" and len(given) == 1 and len(known := full.get((given, family), ())) == 1:
+            x = (*x[:3], f"{next(iter(known))} {family}", x[4])
+        out.append(x)
+    return out
 
 
 _BY_STREET = ((_ADDRESS_DE, _ADDRESS_DE_ANCHORS), (_ADDRESS_ES, _ADDRESS_ES_ANCHORS), (_ADDRESS_FR, _ADDRESS_FR_ANCHORS))
@@ -267,8 +366,8 @@ def _number(text: str, start: int, end: int, add) -> None:
         while s and text[s - 1] in "+(" and at - s < 2:
             s -= 1
         for first in range(s, at + 1):
-            before = text[first - 1 : first]
-            if before.isalnum() or before == "_" or (before in "-./,:" and text[first - 2 : first - 1].isdigit()):
+            before = text[first - 1] if first else " "
+            if before.isalnum() or before == "_" or (before in "-./,:" and first > 1 and text[first - 2].isdigit()):
                 continue
             m = _PHONE.match(text, first)
             if m:
@@ -276,7 +375,7 @@ def _number(text: str, start: int, end: int, add) -> None:
                 abroad = m[0].startswith(("+", "(+", "00"))
                 least = 12 if m[0].startswith("00") else 11 if abroad else 9
                 if least <= len(digits) <= (15 if abroad else 12):
-                    add("phone", m.start(), m.end(), digits)
+                    add("phone", m.start(), m.end(), phone_number(m[0]))
                     at, found = m.end(), True
                     break
         if found:
@@ -296,31 +395,34 @@ def _find(names_rows: list[tuple[str, str]], id_name: str):
         names = Names(names_rows)
         for b in batches:
             rows = [(i, *x) for i, t in zip(b[id_name], b["text"]) for x in mentions(t, names)]
-            yield pd.DataFrame(rows, columns=[id_name, "kind", "char_start", "char_end", "canonical"])
+            yield pd.DataFrame(rows, columns=[id_name, "kind", "char_start", "char_end", "canonical", "gender"])
 
     return run
 
 
 def find(docs: DataFrame, name_list: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_names: int = 1_000_000) -> DataFrame:
-    """``(doc_id, kind, char_start, char_end, canonical)``: one row per mention.
+    """``(doc_id, kind, char_start, char_end, canonical, gender)``: one row per mention.
 
     Offsets count code points. Null and empty texts have no mentions; repeated rows give
     repeated mentions; rows with a null id are searched too. ``name_list`` is a small table
-    (refused above ``max_names`` rows); without it only names in no list stay unfound.
+    (refused above ``max_names`` rows); without it persons are found by titles and common given names only.
     """
+    kind = dict(docs.dtypes)[id_col]
+    rows = docs.where(F.length(docs[text_col]) > 0).select(docs[id_col].alias(id_col), docs[text_col].alias("text"))
+    schema = f"{id_col} {kind}, kind string, char_start int, char_end int, canonical string, gender string"
+    return rows.mapInPandas(_find(_listed(name_list, max_names), id_col), schema)
+
+
+def _listed(name_list: DataFrame, max_names: int) -> list[tuple[str, str]]:
     listed = [(r[0], r[1]) for r in name_list.where("name is not null").select("name", "name_kind").distinct().orderBy("name").limit(max_names + 1).collect()]
     if len(listed) > max_names:
         raise ValueError(f"name_list has more than {max_names} rows")
-    kind = dict(docs.dtypes)[id_col]
-    rows = docs.where(F.length(docs[text_col]) > 0).select(docs[id_col].alias(id_col), docs[text_col].alias("text"))
-    return rows.mapInPandas(_find(listed, id_col), f"{id_col} {kind}, kind string, char_start int, char_end int, canonical string")
+    return listed
 
 
 # Surrogates ---------------------------------------------------------------------------
 
-_GIVEN_F = "Ada Bela Cora Dina Edda Fina Gerda Hanna Ilka Jana Kaja Lena Mona Nela Olga Pia Runa Sina Tilda Ulla Vera Wanda Xenia Yara".split()
-_GIVEN_M = "Arno Bert Carl Dirk Egon Finn Gerd Hein Ivor Jörn Kurt Lutz Marc Nils Olaf Paul Rolf Sven Timm Ulf Veit Wolf Xaver York".split()
-#: Given names by gender; a name in neither, and an initial, gets a given name of either pool.
+#: Given names by gender. Titles tell the gender of others; without either a name gets an ending of any gender.
 _FEMALE = set(
     "alba alice amina ana andrea anna anneke barbara carla carmen carol catherine celine charlotte clara claire elena elisabeth elizabeth emma eva fatima freya greta hannah helen helga ines "
     "ingrid isabel jane joan judith julia karen karin laura leila lotte lucia luz maria marie marta mary mei mercedes mireille monika nadia noor odile olga paula petra pilar rosa ruth sarah selma "
@@ -331,6 +433,17 @@ _MALE = set(
     "julien karl kofi louis luca luis marco mario martin michael miguel nikita omar oskar paul pavel pedro peter philippe pierre piotr rafael robert sacha sasha simon tariq thomas uwe viktor yannick".split()
 )
 _SYLLABLES = "ba ce di fo gu ha ke li mo nu pa re si to va we zi bro cra dre fli gro kna ple stu tra".split()
+#: Alphabets, syllables and endings of given names (female, male) by script; other scripts are written in Latin.
+_SCRIPTS = {
+    "LATIN": ("abcdefghijklmnopqrstuvwxyz", "la le li lo na ne ni no ra re ri ro sa se si so ta te ti to va ve vi mi ma".split(), ("ina", "ela", "ara", "isa"), ("ino", "ert", "omar", "us")),
+    "CYRILLIC": ("абвгдежзиклмнопрстуфхцчшэюя", "ла ле ли ло на не ни но ра ре ри ро са се си со та те ти то ва ве ви ми ма".split(), ("ина", "ела", "ара", "иса"), ("ин", "ерт", "омар", "ус")),
+    "GREEK": ("αβγδεζηθικλμνξοπρστυφχψω", "λα λε λι λο να νε νι νο ρα ρε ρι ρο σα σε σι σο τα τε τι το βα βε βι μι μα".split(), ("ινα", "ελα", "αρα", "ισα"), ("ινος", "ερτος", "ομαρ", "ης")),
+}
+
+
+def _script(word: str) -> str:
+    name = unicodedata.name(word[0], "LATIN").split(" ")[0]
+    return name if name in _SCRIPTS else "LATIN"
 
 
 class _Stream:
@@ -348,18 +461,38 @@ class _Stream:
         return value % n
 
 
-def entity_surrogate(kind: str, canonical: str, key: bytes, attempt: int = 0) -> str:
-    """The canonical surrogate of an entity, to be given each mention's format."""
+def _initial(letter: str, key: bytes) -> str:
+    """The letter that stands for an initial: a keyed permutation of its alphabet, which moves every letter."""
+    alphabet = _SCRIPTS[_script(letter)][0]
+    if letter not in alphabet:
+        return alphabet[blake2b(letter.encode(), key=key, digest_size=2).digest()[0] % len(alphabet)]
+    ring = sorted(alphabet, key=lambda c: blake2b(c.encode(), key=key, digest_size=16).digest())
+    return ring[(ring.index(letter) + 1) % len(ring)]
+
+
+def entity_surrogate(kind: str, canonical: str, key: bytes, attempt: int = 0, gender: str = "") -> str:
+    """The canonical surrogate of an entity, to be given each mention's format. Kinds besides :data:`KINDS`: ``given`` and ``family`` name."""
     s = _Stream(key, kind, canonical, attempt)
-    if kind == "person":
-        first = _fold(canonical.split(" ")[0])
-        pool = _GIVEN_F if first in _FEMALE else _GIVEN_M if first in _MALE else _GIVEN_F + _GIVEN_M
-        given = pool[s.below(len(pool))]
-        return f"{given} {''.join(_SYLLABLES[s.below(len(_SYLLABLES))] for _ in range(4)).capitalize()}"
+    if kind == "given":
+        first = _initial(canonical[0], key)
+        if len(canonical) == 1:
+            return first.upper()
+        _, syllables, female, male = _SCRIPTS[_script(canonical)]
+        gender = "f" if canonical in _FEMALE else "m" if canonical in _MALE else gender
+        ends = female if gender == "f" else male if gender == "m" else female + male
+        middle = "".join(syllables[s.below(len(syllables))] for _ in range(1 + attempt // 3))
+        vowel = "" if first in "aeiouαεηιουωаеиоуэюя" else middle[-1]
+        return (first + vowel + middle + ends[s.below(len(ends))]).capitalize()
+    if kind == "family":
+        syllables = _SYLLABLES if _script(canonical) == "LATIN" else _SCRIPTS[_script(canonical)][1]
+        return "".join(syllables[s.below(len(syllables))] for _ in range(4 + attempt // 3)).capitalize()
     if kind == "email":
         return f"u{s.below(1 << 30):x}{s.below(1 << 16):x}@mail{s.below(1000)}.example"
     if kind == "address":
-        return f"{''.join(_SYLLABLES[s.below(len(_SYLLABLES))] for _ in range(3)).capitalize()} {1 + s.below(998)}"
+        return f"{''.join(_SYLLABLES[s.below(len(_SYLLABLES))] for _ in range(3 + attempt // 3)).capitalize()} {1 + s.below(998)}"
+    if kind == "phone":  # the country stays, and no number starts with the trunk digit
+        code, number = canonical.split(":")
+        return f"{code}:{''.join(str(1 + s.below(9) if not i else s.below(10)) for i in range(len(number)))}"
     return "".join(
         str(s.below(10)) if c.isdigit() else chr(65 + s.below(26)) if c.isalpha() else c for c in canonical
     )
@@ -371,12 +504,20 @@ def formatted(kind: str, surface: str, surrogate: str) -> str:
         given, family = surrogate.split(" ")
         parts = surface.split(",")
         if len(parts) == 2:
-            words = f"{_cased(family, parts[0].strip())}, {_cased(given, parts[1].strip())}"
-        else:
-            first, *_, last = surface.split() if " " in surface or "\n" in surface else re.split(r"\s+", surface)
-            short = len(first.rstrip(".")) == 1
-            words = f"{given[0] + '.' if short else _cased(given, first)} {_cased(family, last)}"
-        return words
+            called = parts[1].strip()
+            return f"{_cased(family, parts[0].strip())}, {given[0] + '.' if len(called.rstrip('.')) == 1 else _cased(given, called)}"
+        first, *_, last = re.split(r"\s+", surface) if re.search(r"\s", surface) else surface.partition(".")[::2]
+        gap = re.search(r"\s+", surface)
+        return f"{given[0] + '.' if len(first.rstrip('.')) == 1 else _cased(given, first)}{gap[0] if gap else ''}{_cased(family, last)}"
+    if kind == "phone":  # codes and trunk digit stay: the number is what the digits end with
+        number = surrogate.split(":")[1]
+        skip = sum(c.isdigit() for c in surface) - len(number)
+        digits = iter(number)
+        seen, text = 0, ""
+        for c in surface:
+            seen += c.isdigit()
+            text += next(digits, c) if c.isdigit() and seen > skip else c
+        return text
     if kind == "email":
         local, domain = surrogate.split("@")
         at = re.search(r"\s*(?:@|[\[({<](?:at|arroba)[\])}>])\s*|\sat\s", surface, re.I)
@@ -443,69 +584,147 @@ def _cased(word: str, like: str) -> str:
     return word.upper() if like.isupper() and len(like) > 1 else word.lower() if like.islower() else word
 
 
-def entity_table(found: DataFrame, key: str, rounds: int = 8, invent=entity_surrogate) -> DataFrame:
-    """``(kind, canonical, surrogate)``: one surrogate per entity, no two entities of a kind sharing one.
+def entity_table(found: DataFrame, key: str, rounds: int = 40, invent=entity_surrogate) -> DataFrame:
+    """``(kind, canonical, surrogate)``: one surrogate per entity; no two entities of a kind share one, and none is an original of its kind.
 
-    Every round finds, over all entities, the surrogates that several got; the smallest
-    entity keeps it and the others are keyed anew. What still collides after ``rounds``
-    gets its rank within the collision appended.
+    ``found``: ``kind, canonical, gender`` of mentions. Every round finds, over all entities, the surrogates that several got and
+    those that are an original; of several the smallest entity keeps it, all others are keyed anew. An error is
+    raised if some still collide after ``rounds``. Initials are permuted and need no check. Of an
+    address the invented street must be no word of any address.
     """
-    secret = key.encode()
+    secret = key.encode()[:64]
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b["surrogate"] = [invent(k, c, secret, a) for k, c, a in zip(b["kind"], b["canonical"], b["attempt"])]
-            yield b
-
-    schema = "kind string, canonical string, attempt int, surrogate string"
-    entities = found.select("kind", "canonical").distinct().withColumn("attempt", F.lit(0))
-    entities = materialize(entities.mapInPandas(make, schema), "surrogates")
-    for _ in range(rounds):
-        keeper = entities.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min("canonical").alias("keeper")).where("n > 1")
-        clash = entities.join(keeper, ["kind", "surrogate"]).where("canonical <> keeper").select("kind", "canonical", "attempt")
-        clash = materialize(clash.withColumn("attempt", F.col("attempt") + 1).mapInPandas(make, schema), "surrogate-clashes")
+            b["surrogate"] = [invent(k, c, secret, a, g) for k, c, a, g in zip(b["kind"], b["canonical"], b["attempt"], b["gender"])]
+            yield b[["kind", "canonical", "attempt", "gender", "surrogate"]]
+
+    schema = "kind string, canonical string, attempt int, gender string, surrogate string"
+    votes = found.groupBy("kind", "canonical").agg(F.count_if(F.col("gender") == "f").alias("f"), F.count_if(F.col("gender") == "m").alias("m"))
+    gender = F.when(F.col("f") > F.col("m"), "f").when(F.col("m") > F.col("f"), "m").otherwise("")
+    fresh = votes.select("kind", "canonical", F.lit(0).alias("attempt"), gender.alias("gender"))
+    entities = materialize(fresh.mapInPandas(make, schema), "surrogates")
+    words = entities.where("kind = 'address'").select("kind", F.explode(F.split("canonical", r"[\s,]+")).alias("original"))
+    originals = entities.where("kind <> 'address'").select("kind", F.col("canonical").alias("original")).unionByName(words).distinct()
+    written = F.when(F.col("kind") == "address", F.lower(F.substring_index("surrogate", " ", 1))).when(F.col("kind") == "id_number", F.col("surrogate")).otherwise(F.lower("surrogate"))
+    for _ in range(rounds + 1):
+        checked = entities.where("not (kind = 'given' and length(canonical) = 1)")
+        keeper = checked.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min("canonical").alias("keeper")).where("n > 1")
+        several = checked.join(keeper, ["kind", "surrogate"]).where("canonical <> keeper").select("kind", "canonical", "attempt", "gender")
+        real = checked.withColumn("original", written).join(originals, ["kind", "original"], "left_semi").select("kind", "canonical", "attempt", "gender")
+        clash = several.union(real).distinct().withColumn("attempt", F.col("attempt") + 1)
+        clash = materialize(clash.mapInPandas(make, schema), "surrogate-clashes")
         if clash.isEmpty():
-            return entities.drop("attempt")
+            return entities.select("kind", "canonical", "surrogate")
         entities = materialize(entities.join(clash.select("kind", "canonical"), ["kind", "canonical"], "left_anti").unionByName(clash), "surrogates")
-    rank = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("canonical"))
-    return entities.select("kind", "canonical", F.concat("surrogate", F.when(rank > 1, F.concat(F.lit("-"), rank.cast("string"))).otherwise(F.lit(""))).alias("surrogate"))
+    raise ValueError(f"surrogates still collide after {rounds} rounds: an alphabet is too small for its entities")
 
 
-def replace(docs: DataFrame, name_list: DataFrame, key: str = "granary", style: str = "placeholder", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def placeholder(kind: str, canonical: str, secret: bytes) -> str:
+    """``[KIND_code]``, the code of 128 bits: long enough that no two entities share one."""
+    return f"[{kind.upper()}_{blake2b(f'{kind}\0{canonical}'.encode(), key=secret, digest_size=16).hexdigest()}]"
+
+
+def replace(docs: DataFrame, name_list: DataFrame, key: str, style: str = "placeholder", id_col: str = "doc_id", text_col: str = "text", max_names: int = 1_000_000) -> DataFrame:
     """``(doc_id, text, replaced)``: every text with its personal data replaced, all else unchanged.
 
-    ``style="placeholder"``: ``[PERSON_5f0c21ab...]``, the code of 32 hex digits keyed by ``key`` and equal for
-    equal entities. ``style="surrogate"``: an invented value of the same type and format.
+    ``key``: a secret of 1 to 64 bytes; whoever has it can recompute codes. ``style="placeholder"``: ``[PERSON_5f0c21ab...]``, equal for
+    equal entities, in one pass over the texts. ``style="surrogate"``: an invented value of the same type and format.
     Texts without personal data and null texts come out as they are; ``replaced`` counts
     mentions. Every row comes out once, repeated ones and those with a null id too.
     """
+    if not 0 < len(key.encode()) <= 64:
+        raise ValueError("a key has 1 to 64 bytes")
+    kind, secret = dict(docs.dtypes)[id_col], key.encode()
+    schema = f"{id_col} {kind}, text string, replaced int"
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+
+    def spliced(text: str, spans: list[tuple[int, int, str]]) -> str:
+        at, parts = 0, []
+        for start, end, new in spans:
+            parts += [text[at:start], new]
+            at = end
+        return "".join([*parts, text[at:]])
+
+    if style == "placeholder":
+        listed = _listed(name_list, max_names)
+
+        def redact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names = Names(listed)
+            for b in batches:
+                texts, counts = [], []
+                for text in b["text"]:
+                    spans = [(x[1], x[2], placeholder(x[0], x[3], secret)) for x in mentions(text, names)] if text else []
+                    texts.append(spliced(text, spans) if spans else text)
+                    counts.append(len(spans))
+                yield pd.DataFrame({id_col: b["id"], "text": texts, "replaced": counts})
+
+        return rows.mapInPandas(redact, schema)
     # Equal texts have equal mentions, so a text is known by its hash: ids may repeat or be null.
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).withColumn("key", F.unhex(F.md5("text")))
-    found = materialize(find(rows, name_list, "key"), "mentions")
-    if style == "surrogate":
-        found = found.join(entity_table(found, key), ["kind", "canonical"])
-    else:
-        code = F.substring(F.sha2(F.concat_ws("\0", F.lit(key), "kind", "canonical"), 256), 1, 32)  # 128 bits: no two entities share one
-        found = found.withColumn("surrogate", F.concat(F.lit("["), F.upper("kind"), F.lit("_"), code, F.lit("]")))
-    per_text = found.groupBy("key").agg(F.collect_set(F.struct("char_start", "char_end", "kind", "surrogate")).alias("spans"))
+    rows = rows.withColumn("key", F.unhex(F.md5("text")))
+    found = find(rows.select("key", "text"), name_list, "key", max_names=max_names)
+    given, family = F.substring_index("canonical", " ", 1), F.expr("substring(canonical, instr(canonical, ' ') + 1)")
+    part = lambda k, c: F.struct(k.alias("part"), c.alias("canonical"))
+    parts = F.when(F.col("kind") == "person", F.array(part(F.lit("given"), given), part(F.lit("family"), family))).otherwise(F.array(part(F.col("kind"), F.col("canonical"))))
+    found = materialize(found.distinct().select("key", "kind", "char_start", "char_end", "gender", F.explode(parts).alias("p")).select("key", "kind", "char_start", "char_end", "gender", "p.part", "p.canonical"), "mentions")
+    table = entity_table(found.select(F.col("part").alias("kind"), "canonical", "gender"), key)
+    found = found.join(table.withColumnRenamed("kind", "part"), ["part", "canonical"])
+    per_text = found.groupBy("key").agg(F.collect_list(F.struct("char_start", "char_end", "kind", "part", "surrogate")).alias("spans"))  # the mentions of one text
 
     def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts = []
+            texts, counts = [], []
             for text, spans in zip(b["text"], b["spans"]):
-                at, parts = 0, []
-                for x in sorted(spans, key=lambda x: x["char_start"]) if spans is not None else ():
-                    surface = text[x["char_start"] : x["char_end"]]
-                    parts += [text[at : x["char_start"]], x["surrogate"] if style == "placeholder" else formatted(x["kind"], surface, x["surrogate"])]
-                    at = x["char_end"]
-                texts.append("".join([*parts, text[at:]]) if parts else text)
-            yield pd.DataFrame({id_col: b["id"], "text": texts, "replaced": [0 if s is None else len(s) for s in b["spans"]]})
+                whole: dict[tuple[int, int, str], dict[str, str]] = {}
+                for x in spans if spans is not None else ():
+                    whole.setdefault((x["char_start"], x["char_end"], x["kind"]), {})[x["part"]] = x["surrogate"]
+                new = [(a, z, formatted(k, text[a:z], " ".join(v[p] for p in (("given", "family") if k == "person" else (k,))))) for (a, z, k), v in sorted(whole.items())]
+                texts.append(spliced(text, new) if new else text)
+                counts.append(len(new))
+            yield pd.DataFrame({id_col: b["id"], "text": texts, "replaced": counts})
 
-    kind = dict(docs.dtypes)[id_col]
-    # Only texts with mentions pass through Python.
-    changed = rows.join(per_text, "key").drop("key").mapInPandas(rewrite, f"{id_col} {kind}, text string, replaced int")
-    same = rows.join(per_text.select("key"), "key", "left_anti").select(F.col("id").alias(id_col), "text", F.lit(0).alias("replaced"))
-    return changed.unionByName(same)
+    return rows.join(per_text, "key", "left").select("id", "text", "spans").mapInPandas(rewrite, schema)
+
+
+def check(docs: DataFrame, replaced: DataFrame, name_list: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(documents, kept, merged, edited)``: what a replacement of documents with unique ids breaks, 0 if nothing.
+
+    ``documents``: rows that came out. ``kept``: mentions that read as before; ``merged``: replacements, as they are written, that two
+    entities of a kind share; ``edited``: texts changed outside of their mentions.
+    """
+    listed = _listed(name_list, 1_000_000)
+    pairs = replaced.select(F.col(id_col).alias("id"), F.col("text").alias("new")).join(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("old")), "id")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = Names(listed)
+        for b in batches:
+            rows = []
+            for old, new in zip(b["old"], b["new"]):
+                if not old:
+                    rows += [("", "", "", False, True)] if old != new else []
+                    continue
+                found = mentions(old, names)
+                at, edges = 0, [0, *[x for m in found for x in (m[1], m[2])], len(old)]
+                segments = [old[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)]
+                if not new.startswith(segments[0]) or not new.endswith(segments[-1]):
+                    rows.append(("", "", "", False, True))
+                    continue
+                at = len(segments[0])
+                for i, m in enumerate(found):
+                    last = i + 1 == len(found)
+                    nxt = len(new) - len(segments[-1]) if last else new.find(segments[i + 1], at + 1) if segments[i + 1] else -1
+                    if nxt < at:
+                        rows.append(("", "", "", False, True))
+                        break
+                    got = new[at:nxt]
+                    rows.append((m[0], m[3], re.sub(r"\W", "", _fold(got)), _fold(got) == _fold(old[m[1] : m[2]]), False))
+                    at = nxt + len(segments[i + 1])
+            yield pd.DataFrame(rows, columns=["kind", "canonical", "written", "kept", "edited"])
+
+    rows = materialize(pairs.select("old", "new").mapInPandas(compare, "kind string, canonical string, written string, kept boolean, edited boolean"), "replacements")
+    merged = rows.where("kind <> ''").groupBy("kind", "written").agg(F.count_distinct("canonical").alias("n")).where("n > 1")
+    kept, edited = rows.agg(F.count_if("kept"), F.count_if("edited")).first()
+    return docs.sparkSession.createDataFrame([(replaced.count(), kept, merged.count(), edited)], "documents long, kept long, merged long, edited long")
 
 
 def found_mentions(docs: DataFrame, name_list: DataFrame) -> DataFrame:

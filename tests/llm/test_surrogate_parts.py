@@ -28,9 +28,8 @@ def test_every_part_of_an_address(surface):
 
 
 def test_gender():
-    pools = {}
-    for name in ("carmen", "inés", "luca", "noor"):
-        pools[name] = {pd_.entity_surrogate("person", f"{name} brevo{i}", b"k").split()[0] for i in range(40)}
-    assert pools["carmen"] | pools["inés"] | pools["noor"] <= set(pd_._GIVEN_F) and pools["luca"] <= set(pd_._GIVEN_M)
-    initials = {pd_.entity_surrogate("person", f"a brevo{i}", b"k").split()[0] for i in range(40)}
-    assert initials & set(pd_._GIVEN_F) and initials & set(pd_._GIVEN_M)
+    ends = {"f": ("ina", "ela", "ara", "isa"), "m": ("ino", "ert", "omar", "us")}
+    for name, gender in (("carmen", "f"), ("ines", "f"), ("noor", "f"), ("luca", "m")):
+        assert {pd_.entity_surrogate("given", name, str(i).encode()).endswith(ends[gender]) for i in range(40)} == {True}
+    assert pd_.entity_surrogate("given", "sixte", b"k", 0, "m").endswith(ends["m"])
+    assert len({pd_.entity_surrogate("given", "sixte", str(i).encode()).endswith(ends["m"]) for i in range(40)}) == 2

@@ -32,7 +32,7 @@ RANK_ROWS = 100_000
 #: Ranks of a class that share a row of the plan.
 PLAN_RANKS = 1024
 #: Width of a length class; how far the plan may be from the lower bound before smaller steps are tried; the steps.
-CLASS_RATIO, GAP, STEPS = 1.003, 0.001, (0.5, 0.25)
+CLASS_RATIO, GAP, STEPS = 1.005, 0.0015, (0.5, 0.25)
 
 
 @dataclass
@@ -56,7 +56,7 @@ def length_classes(capacity: int, ratio: float = CLASS_RATIO) -> np.ndarray:
 
 def price(values: np.ndarray, sizes: np.ndarray, available: np.ndarray, capacity: int, classes: np.ndarray) -> dict[int, int]:
     """The configuration of greatest value made of ``classes``: a knapsack dynamic program, copies by powers of two."""
-    best = np.zeros(capacity + 1)
+    best, room_ = np.zeros(capacity + 1, np.float32), np.empty(capacity + 1, np.float32)
     steps: list[tuple[int, int, int, np.ndarray]] = []
     for j in classes.tolist():
         size, copies = int(sizes[j]), 1
@@ -64,11 +64,9 @@ def price(values: np.ndarray, sizes: np.ndarray, available: np.ndarray, capacity
         while most > 0:
             take = min(copies, most)
             weight = size * take
-            with_it = best[: capacity + 1 - weight] + values[j] * take
-            better = with_it > best[weight:]
-            if better.any():
-                np.copyto(best[weight:], with_it, where=better)
-                steps.append((j, take, weight, better))
+            with_it = np.add(best[: capacity + 1 - weight], np.float32(values[j] * take), out=room_[weight:])
+            steps.append((j, take, weight, with_it > best[weight:]))
+            np.maximum(best[weight:], with_it, out=best[weight:])
             most -= take
             copies *= 2
     counts: dict[int, int] = {}
@@ -80,25 +78,36 @@ def price(values: np.ndarray, sizes: np.ndarray, available: np.ndarray, capacity
     return counts
 
 
-def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, step: float, rate: float = 0.1, tilt: float = 0.05, partial: int = 40) -> list[tuple[dict[int, int], int]]:
+def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, step: float, rate: float = 0.25, tilt: float = 0.05, partial: int = 32, probe: int = 32) -> list[tuple[dict[int, int], int]]:
     """Configurations and how many containers follow each; together they cover the demand exactly.
 
     Prices start a little more than proportional to length (``tilt``), since fewer configurations take the long classes.
-    A configuration is priced over the ``partial`` least covered classes; where that leaves more than a
-    thousandth of the container empty, over all.
+    A configuration is priced over the ``partial`` least covered classes and the shortest ones; where it leaves more than a
+    thousandth of the container empty, over four times as many, and so on to all. Where all leave more empty, as
+    much is accepted for the next ``probe`` configurations.
     """
     left, volume = demand.copy(), float((sizes * demand).sum())
     start = sizes * (sizes / capacity) ** tilt
     runs: list[tuple[dict[int, int], int]] = []
+    aim, since = 0.999 * capacity, 0
     while left.any():
         open_ = np.flatnonzero(left)
         covered = 1 - left / demand
         mean = 1 - float((sizes * left).sum()) / volume
         values = start * np.exp(rate * (mean - covered))
         order = open_[np.lexsort((-sizes[open_], covered[open_]))]
-        config = price(values, sizes, left, capacity, order[:partial])
-        if len(order) > partial and sum(int(sizes[j]) * n for j, n in config.items()) < 0.999 * capacity:
-            config = price(values, sizes, left, capacity, open_)
+        since += 1
+        aim = 0.999 * capacity if since > probe else aim
+        width = partial
+        while True:
+            config = price(values, sizes, left, capacity, np.union1d(order[:width], open_[: partial // 4]) if width < len(order) else open_)
+            fill = sum(int(sizes[j]) * n for j, n in config.items())
+            if fill >= aim:
+                break
+            if width >= len(order):
+                aim, since = fill - 0.001 * capacity, 0
+                break
+            width *= 4
         times = max(1, int(step * min(int(left[j]) // n for j, n in config.items())))
         for j, n in config.items():
             left[j] -= n * times

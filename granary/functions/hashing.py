@@ -28,62 +28,51 @@ def inventory_lines(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.concat("chunk_id", F.lit("\t"), F.sha2("text", 256), F.lit("\n")).alias("line"))
 
 
-#: Up to this many rows an identity over all rows in order is one running hash; beyond, a tree of hashes.
-MOST_LINES = 5_000_000
-TREE_BITS = 16
+#: Hex digits of a key's hash that make a leaf and a node of an identity's tree: a million leaves, 4096 nodes.
+LEAF, NODE = 5, 3
 
 
-def _running(lines: DataFrame, key: str) -> str:
-    """Hash of all lines in order of ``key``. Rows stream to the driver in order; none are kept."""
-    hashed = hashlib.sha256()
-    for row in lines.orderBy(key, "line").select("line").toLocalIterator(prefetchPartitions=True):
-        hashed.update(row[0].encode())
-    return hashed.hexdigest()
-
+def identity(lines: DataFrame, key: str) -> DataFrame:
+    """``(identity)``, one row: hash of the hashes of nodes, each of the hashes of its leaves, each over its lines in order of ``key``.
 
-def _tree(lines: DataFrame, key: str) -> str:
-    """Hash of the hashes of 65,536 ranges of the key's hash, each over its lines in order: all but the last step is distributed."""
-    digits = TREE_BITS // 4
-    part = F.substring(F.sha2(key, 256), 1, digits)
-    order = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), "line")))
-    parts = lines.groupBy(part.alias("part")).agg(F.sha2(F.array_join(F.transform(order, lambda x: x["line"]), ""), 256).alias("h"))
-    return hashlib.sha256("".join(f"{p}\t{h}\n" for p, h in sorted(map(tuple, parts.collect()))).encode()).hexdigest()
+    The same tree for any number of rows; leaves and nodes are made by the cluster. No rows have an identity too.
+    """
 
+    def level(rows: DataFrame, part: Column, order: Column, line: str) -> DataFrame:
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x[line]), "")
+        return rows.groupBy(part.alias("part")).agg(F.sha2(joined, 256).alias("h")).withColumn("line", F.concat("part", F.lit("\t"), "h", F.lit("\n")))
 
-def inventory_method(rows: int) -> str:
-    return "lines" if rows <= MOST_LINES else "tree"
+    leaves = level(lines, F.substring(F.sha2(key, 256), 1, LEAF), F.struct(F.col(key).alias("k"), "line"), "line")
+    nodes = level(leaves, F.substring("part", 1, NODE), F.struct("part", "line"), "line")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "line"))), lambda x: x["line"]), "")
+    return nodes.agg(F.sha2(whole, 256).alias("identity"))
 
 
-def chunk_inventory_sha256(chunks: DataFrame, method: str = "lines") -> str:
-    """Identity of ids and texts. ``lines``: the hash of all lines in order of id; ``tree``: the form for any size."""
-    return (_running if method == "lines" else _tree)(inventory_lines(chunks), "chunk_id")
+def chunk_inventory_sha256(chunks: DataFrame) -> str:
+    """Identity of ids and texts."""
+    return identity(inventory_lines(chunks), "chunk_id").first()[0]
 
 
 def dataset_id(inventory: str) -> str:
     return f"ds-{inventory[:16]}"
 
 
-def corpus_fingerprint(sources: DataFrame, method: str = "lines") -> str:
-    """Identity of the sources, from their paths, types and fingerprints in order of identity."""
+def corpus_lines(sources: DataFrame) -> DataFrame:
     part = F.concat_ws("\0", F.col("relative_path"), F.col("file_type"), F.coalesce("source_fingerprint", F.lit("")))
-    return (_running if method == "lines" else _tree)(sources.select("source_identity", F.concat(part, F.lit("\0")).alias("line")), "source_identity")
+    return sources.select("source_identity", F.concat(part, F.lit("\0")).alias("line"))
 
 
-def content_fingerprint(chunks: DataFrame) -> str:
-    """Short hash of ``[[id, text], ...]`` in order of id, as canonical JSON text."""
-    hashed, first = hashlib.sha256(b"["), True
-    for row in chunks.select("chunk_id", "text").orderBy("chunk_id").toLocalIterator():
-        hashed.update(((", " if not first else "") + json.dumps([row[0], row[1]], ensure_ascii=False)).encode())
-        first = False
-    hashed.update(b"]")
-    return hashed.hexdigest()[:16]
+def corpus_fingerprint(sources: DataFrame) -> str:
+    """Identity of the sources, from their paths, types and fingerprints."""
+    return identity(corpus_lines(sources), "source_identity").first()[0]
 
 
-def inventory_summary(chunks: DataFrame, bits: int = 8) -> DataFrame:
-    """``(range, chunks, checksum)``: the inventory by ranges of the id's hash, mergeable and order-free."""
-    row = F.xxhash64("chunk_id", F.sha2("text", 256))
-    where = F.shiftrightunsigned(F.xxhash64("chunk_id"), 64 - bits).cast("int")
-    return chunks.groupBy(where.alias("range")).agg(F.count("*").alias("chunks"), F.bit_xor(row).alias("checksum"))
+def lines_sha256(lines: DataFrame, key: str) -> str:
+    """One running hash of all lines in order of ``key``, for comparison with systems that use it: the lines stream through the driver, none are kept."""
+    hashed = hashlib.sha256()
+    for row in lines.orderBy(key, "line").select("line").toLocalIterator(prefetchPartitions=True):
+        hashed.update(row[0].encode())
+    return hashed.hexdigest()
 
 
 def embedding_fingerprint(payload: dict) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,30 +18,43 @@ TAIL = 0.8
 _SPAN = "source_identity string, doc_chunk_index int, char_start int, char_end int, text string"
 
 
+class _Marks:
+    """Where a text can be cut and where it is inked: positions found once, then looked up by bisection."""
+
+    def __init__(self, text: str):
+        self.separators = [(len(s), [m.start() for m in re.finditer(f"(?={re.escape(s)})", text)]) for s in SEPARATORS]
+        ink = [m.span() for m in re.finditer(r"\S+", text)]
+        self.begins, self.ends = [a for a, _ in ink], [b for _, b in ink]
+
+    def cut(self, floor: int, end: int) -> int:
+        """Behind the last separator of the most preferred kind that begins after ``floor`` and ends by ``end``; ``end`` if there is none."""
+        for width, starts in self.separators:
+            i = bisect_right(starts, end - width)
+            if i and starts[i - 1] > floor:
+                return starts[i - 1] + width
+        return end
+
+    def inked(self, start: int, end: int) -> tuple[int, int] | None:
+        """The range without blanks at its edges; None if it is blank."""
+        first, last = bisect_right(self.ends, start), bisect_left(self.begins, end) - 1
+        return (max(start, self.begins[first]), min(end, self.ends[last])) if first <= last else None
+
+
 def spans(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
     """Offsets of the chunks of a text: stripped, none inside the one before."""
     if not 0 <= overlap < size:
         raise ValueError("the overlap must be at least 0 and less than the size")
-    start, n, last = 0, len(text), (0, 0)
-    while start < n:
-        end = min(start + size, n)
-        if end < n:
-            floor = start + int(size * TAIL)
-            for s in SEPARATORS:
-                at = text.rfind(s, floor, end)
-                if at > floor:
-                    end = at + len(s)
-                    break
-        window = text[start:end]
-        body = window.strip()
-        if body:
-            s = start + len(window) - len(window.lstrip())
-            e = s + len(body)
-            if not (last[0] <= s and e <= last[1]) or last == (0, 0):
-                yield s, e
-                last = (s, e)
-        following = end - overlap
-        start = following if following > start else end
+    marks, reach = _Marks(text), 0
+    start = 0
+    while start < len(text):
+        end = min(start + size, len(text))
+        end = marks.cut(start + int(size * TAIL), end) if end < len(text) else end
+        span = marks.inked(start, end)
+        # Chunks begin in order, so one that ends within the reach of those before lies inside the last.
+        if span and span[1] > reach:
+            reach = span[1]
+            yield span
+        start = end - overlap if end - overlap > start else end
 
 
 def chunk_documents(docs: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
@@ -63,7 +78,7 @@ def chunk_documents(docs: DataFrame, size: int = 1000, overlap: int = 200) -> Da
     return rows.select(
         F.concat("source_identity", F.lit(":chunk-"), "doc_chunk_index").alias("chunk_id"), F.col("source_identity").alias("doc_id"),
         F.col("relative_path").alias("source_file"), "doc_chunk_index", F.lit(None).cast("long").alias("global_index"),
-        "char_start", "char_end", F.lit(None).cast("string").alias("content_module_id"), "text", meta.alias("metadata"),
+        "char_start", "char_end", F.col("source_identity").alias("content_module_id"), "text", meta.alias("metadata"),
     )
 
 

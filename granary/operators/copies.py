@@ -86,12 +86,12 @@ def overlap_pairs(near: DataFrame, width: int = WIDTH, containment: float = CONT
     return full.select("chunk_a", "chunk_b", "shared_shingles", F.round(n / F.least("na", "nb"), 4).alias("containment"), F.round(n / F.greatest("na", "nb"), 4).alias("containment_larger"))
 
 
-def components(pairs: DataFrame, rounds: int = 50) -> DataFrame:
+def components(pairs: DataFrame, rounds: int = 200) -> DataFrame:
     """``(node, root)`` with the smallest node of each connected component.
 
     Alternating large-star and small-star steps: the number of rounds grows with the logarithm
     of a component's size, not its diameter. Every round is written to the shared folder.
-    Self-pairs and null ends are ignored.
+    Self-pairs and null ends are ignored. Groups that are not complete after ``rounds`` raise an error.
     """
     edges = pairs.select(F.col(pairs.columns[0]).alias("u"), F.col(pairs.columns[1]).alias("v")).where("u is not null and v is not null and u <> v")
     edges = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
@@ -110,6 +110,8 @@ def components(pairs: DataFrame, rounds: int = 50) -> DataFrame:
         edges = new
         if marks[0] == marks[1]:
             break
+    else:
+        raise RuntimeError(f"components are not complete after {rounds} rounds")
     return nodes.join(edges.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 

@@ -2,10 +2,10 @@
 
 Keys are placed on a ring of 64-bit tokens (a hash of the key, so that hot key
 prefixes spread evenly). A range of the ring is a token prefix. Both sides are reduced
-to one checksum and row count per leaf range; ranges are then compared from the top and
-only those whose checksums differ are bisected further. Rows are looked at in
-mismatched leaves only: first their digests, which tell rows on one side from changed
-rows, then, for changed rows, the fields themselves.
+to a checksum and row count per coarse range, which combine before the shuffle; only ranges whose
+checksums differ are bisected further, down to leaves of a few rows. Rows are shuffled by key in
+mismatched leaves only, where superseded versions fall away: first their digests, which tell rows on
+one side from changed rows, then, for changed rows, the fields themselves.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ def _prefix(token: Column, bits: int) -> Column:
 
 
 def _differs() -> Column:
-    return (F.col("rows_l") != F.col("rows_r")) | (F.col("sum_l") != F.col("sum_r"))
+    return (F.col("rows_l") != F.col("rows_r")) | (F.col("sum_l") != F.col("sum_r")) | (F.col("xor_l") != F.col("xor_r"))
 
 
 def diff(
@@ -56,7 +56,7 @@ def diff(
     right_version: str | None = None,
     json_fields: dict[str, list[str]] | None = None,
     leaf_rows: int = 2,
-    bits_per_level: int = 8,
+    bits_per_level: int = 12,
     names: tuple[str, str] = (ONLY_LEFT, ONLY_RIGHT),
 ) -> DataFrame:
     """One row ``(key, difference)`` for each key on one side only and each differing field.
@@ -65,8 +65,8 @@ def diff(
     ``json_fields`` maps a field that holds a JSON object to the top-level keys to ignore.
     With a version column only the row with the greatest version of a key counts; without
     one, and among equal versions, the row with the greatest digest. A null version is
-    older than any. Rows with a null key cannot be matched and are left out. Extra columns
-    are ignored; an empty side yields every key of the other. ``leaf_rows``: the expected
+    older than any. Rows with a null key match rows with a null key and the same values, one for one; each that is left over is
+    reported under a null key. Extra columns are ignored; an empty side yields every key of the other. ``leaf_rows``: the expected
     number of rows in a leaf range.
     """
     json_fields = json_fields or {}
@@ -74,42 +74,42 @@ def diff(
     def side(df: DataFrame, version: str | None) -> DataFrame:
         value = [canonical_json(df[f], json_fields[f]) if f in json_fields else df[f] for f in fields]
         order = df[version] if version else F.lit(None).cast("timestamp")
-        return df.where(df[key].isNotNull()).select(
-            df[key].cast("string").alias("k"), order.alias("v"), _digest(value).alias("d"),
+        return df.select(
+            df[key].cast("string").alias("k"), order.cast("timestamp").alias("v"), _digest(value).alias("d"),
             *[x.alias(f"f{i}") for i, x in enumerate(value)],
         )
 
     sides = {"l": side(left, left_version), "r": side(right, right_version)}
-    count = max(left.count(), right.count(), 1)
-    depth = min(48, max(0, math.ceil(math.log2(count / leaf_rows)))) if count > leaf_rows else 0
-
     rows = None
     for name, df in sides.items():
-        # Superseded versions go before the shuffle: struct maxima combine on the map side.
-        one = df.groupBy("k").agg(F.max(F.struct(F.col("v").cast("timestamp").alias("v"), "d")).alias("x"))
-        one = one.select("k", F.lit(name).alias("side"), F.col("x.d").alias("d"), F.xxhash64("k").alias("token"))
+        one = df.select("k", F.lit(name).alias("side"), "v", "d", F.xxhash64("k").alias("token"))
         rows = one if rows is None else rows.unionByName(one)
-    rows = materialize(rows.withColumn("leaf", _prefix(F.col("token"), depth)), "diff-rows")
+    rows = materialize(rows, "diff-rows")
 
     def of(side: str, column: Column) -> Column:
         return F.when(F.col("side") == side, column)
 
-    both = F.xxhash64("k", "d")
-    leaves = rows.groupBy("leaf").agg(
-        F.count(of("l", both)).alias("rows_l"), F.count(of("r", both)).alias("rows_r"),
-        F.coalesce(F.bit_xor(of("l", both)), F.lit(0)).alias("sum_l"), F.coalesce(F.bit_xor(of("r", both)), F.lit(0)).alias("sum_r"),
-    )
-    leaves = materialize(leaves, "diff-leaves")
-    for bits in range(bits_per_level, depth, bits_per_level):
-        parent = F.shiftrightunsigned("leaf", depth - bits)
-        nodes = leaves.groupBy(parent.alias("node")).agg(
-            F.sum("rows_l").alias("rows_l"), F.sum("rows_r").alias("rows_r"),
-            F.bit_xor("sum_l").alias("sum_l"), F.bit_xor("sum_r").alias("sum_r"),
+    nameless = rows.where("k is null").groupBy("d").agg((F.count(of("l", F.col("d"))) - F.count(of("r", F.col("d")))).alias("n"))
+    nameless = nameless.where("n <> 0").select(F.lit(None).cast("string").alias(key), F.explode(F.array_repeat(F.when(F.col("n") > 0, F.lit(names[0])).otherwise(F.lit(names[1])), F.abs("n").cast("int"))).alias("difference"))
+
+    suspects = rows.where("k is not null")
+    count = max(*(r[1] for r in rows.groupBy("side").count().collect()), 1) if not rows.isEmpty() else 1
+    depth = min(48, max(0, math.ceil(math.log2(count / leaf_rows)))) if count > leaf_rows else 0
+    # Equal row counts and checksums of all rows, superseded ones too, mean equal rows: nothing has to be matched by key to rule a range out.
+    both = F.xxhash64("k", "d", "v") if left_version and right_version else F.xxhash64("k", "d")
+    for bits in [*range(bits_per_level, depth, bits_per_level), depth]:
+        node = _prefix(F.col("token"), bits)
+        nodes = suspects.groupBy(node.alias("node")).agg(
+            F.count(of("l", both)).alias("rows_l"), F.count(of("r", both)).alias("rows_r"),
+            F.coalesce(F.sum(of("l", F.shiftright(both, 32))), F.lit(0)).alias("sum_l"), F.coalesce(F.sum(of("r", F.shiftright(both, 32))), F.lit(0)).alias("sum_r"),
+            F.coalesce(F.bit_xor(of("l", both)), F.lit(0)).alias("xor_l"), F.coalesce(F.bit_xor(of("r", both)), F.lit(0)).alias("xor_r"),
         )
-        leaves = leaves.withColumn("node", parent).join(nodes.where(_differs()).select("node"), "node", "left_semi").drop("node")
-    suspects = rows.join(leaves.where(_differs()).select("leaf"), "leaf", "left_semi")
+        bad = nodes.where(_differs()).select("node")
+        # At most 2 ** bits nodes: the coarse level is small whatever the tables hold.
+        suspects = suspects.withColumn("node", node).join(F.broadcast(bad) if bits <= 12 else bad, "node", "left_semi").drop("node")
 
-    pairs = suspects.groupBy("k").agg(F.max(of("l", F.col("d"))).alias("dl"), F.max(of("r", F.col("d"))).alias("dr"))
+    latest = lambda s: F.max(of(s, F.struct("v", "d")))["d"]
+    pairs = suspects.groupBy("k").agg(latest("l").alias("dl"), latest("r").alias("dr"))
     pairs = materialize(pairs.where(~F.col("dl").eqNullSafe(F.col("dr"))), "diff-pairs")
     lone = pairs.where(F.col("dl").isNull() | F.col("dr").isNull()).select(
         F.col("k").alias(key), F.when(F.col("dr").isNull(), F.lit(names[0])).otherwise(F.lit(names[1])).alias("difference")
@@ -128,4 +128,4 @@ def diff(
         *[F.when(~F.col(f"l.f{i}").eqNullSafe(F.col(f"r.f{i}")), F.lit(f)) for i, f in enumerate(fields)]
     )
     inner = lr.select(F.col("k").alias(key), F.explode(F.array_compact(different)).alias("difference"))
-    return lone.unionByName(inner)
+    return lone.unionByName(inner).unionByName(nameless)

@@ -74,17 +74,17 @@ def subjects(payload: dict | None, first: int, last: int) -> list[tuple[int, int
 
 
 def merged(found: list[tuple[int, int, tuple[str, ...]]]) -> list[tuple[int, int, tuple[str, ...]]]:
-    """Each subject joins the first earlier one with the same words that it touches, in the order given."""
-    out: list[list] = []
-    for a, b, words in found:
-        key = tuple(w.casefold() for w in words)
-        for s in out:
-            if s[3] == key and a <= s[1] + 1 and s[0] <= b + 1:
-                s[0], s[1] = min(s[0], a), max(s[1], b)
-                break
-        else:
-            out.append([a, b, words, key])
-    return [(a, b, w) for a, b, w, _ in out]
+    """Subjects with the same words (in any case) whose spans touch or overlap are one; in order of their first passage."""
+    table = pd.DataFrame(found, columns=["first", "last", "words"])
+    if not len(table):
+        return []
+    table["key"] = [tuple(w.casefold() for w in words) for words in table["words"]]
+    table = table.sort_values(["first", "last"], kind="stable")
+    # Within one key a span opens a new subject where all before it end more than one passage earlier.
+    reach = table.groupby("key", sort=False)["last"].cummax().groupby(table["key"], sort=False).shift()
+    table["run"] = (~(table["first"] <= reach + 1)).groupby(table["key"], sort=False).cumsum()
+    runs = table.groupby(["key", "run"], sort=False).agg(first=("first", "min"), last=("last", "max"), words=("words", "first"))
+    return [(int(a), int(b), w) for a, b, w in runs.sort_values(["first", "last"], kind="stable").itertuples(index=False)]
 
 
 def build(chunks: DataFrame, path: str, label: Callable[[str, str], tuple[str, int, int]], limit: int | None = None) -> DataFrame:

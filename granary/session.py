@@ -27,7 +27,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where it is unset, a temporary one on a local master and an error on a cluster."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -35,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return str(current.get()).rstrip("/")
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="granary-")
     context.setCheckpointDir(made)
     return made
@@ -67,6 +69,48 @@ def _file_system(spark: SparkSession, path: str):
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
 
 
+# Small files beside tables, wherever the paths lead -------------------------------------------
+
+
+def _plain(spark: SparkSession, path: str):
+    """The file system without checksum files beside what is written: small files may be edited by hand."""
+    system, target = _file_system(spark, path)
+    return (system.getRawFileSystem() if system.getClass().getSimpleName() == "LocalFileSystem" else system), target
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file whole or not at all: under another name first, then renamed."""
+    system, target = _plain(spark, path)
+    system.mkdirs(target.getParent())
+    part = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex[:8]}")
+    out = system.create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if system.exists(target):
+        system.delete(target, False)
+    if not system.rename(part, target):
+        raise OSError(f"cannot write {path}")
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    system, target = _plain(spark, path)
+    if not system.exists(target):
+        raise FileNotFoundError(path)
+    stream = system.open(target)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder, in order; none if there is no folder."""
+    system, target = _plain(spark, path)
+    if not system.exists(target) or not system.getFileStatus(target).isDirectory():
+        return []
+    return sorted(x.getPath().getName() for x in system.listStatus(target))
+
+
 _shipped: set[str] = set()
 
 

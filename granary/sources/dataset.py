@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import uuid
 from dataclasses import dataclass
 from datetime import UTC, datetime
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 from granary import schema
 from granary.errors import DatasetIntegrityError
 from granary.functions import hashing
+from granary.session import names_in, read_text, write_text
 from granary.sources.files import jsonl_lines
 
 SPEC, SPEC_VERSION, TAG = "granary-dataset", "1.0", "granary-dataset-core/1"
@@ -76,7 +76,7 @@ def core_sha256(manifest: dict, inventory: str, corpus: str) -> str:
 def write(chunks: DataFrame, path: str, name: str, chunking: dict, sources: DataFrame | None = None, created_at: str | None = None, derived_from: dict | None = None, interchange: bool = False) -> Dataset:
     """Freeze ``chunks`` under ``path``, which must be empty. ``interchange`` also writes the byte-exact JSON lines."""
     spark = chunks.sparkSession
-    if os.path.isdir(path) and os.listdir(path):
+    if names_in(spark, path):
         raise FileExistsError(f"{path} is not empty")
     rows = prepare(chunks)
     rows.repartitionByRange("doc_id", "chunk_id").sortWithinPartitions("doc_id", "doc_chunk_index").write.mode("errorifexists").parquet(f"{path}/data/chunks")
@@ -85,11 +85,10 @@ def write(chunks: DataFrame, path: str, name: str, chunking: dict, sources: Data
     listed = spark.read.parquet(f"{path}/data/sources")
     types = {r[0]: r[1] for r in listed.groupBy("file_type").count().orderBy("file_type").collect()}
     count = rows.count()
-    method = hashing.inventory_method(count)
-    inventory, corpus = hashing.chunk_inventory_sha256(rows, method), hashing.corpus_fingerprint(listed, method)
+    inventory, corpus = hashing.chunk_inventory_sha256(rows), hashing.corpus_fingerprint(listed)
     manifest = {
         "spec": SPEC, "spec_version": SPEC_VERSION, "dataset_id": hashing.dataset_id(inventory), "name": name, "created_at": created_at or now(), "chunking": chunking,
-        "sources": {"source_count": listed.count(), "file_types": types}, "chunk_count": count, "inventory_method": method, "chunk_inventory_sha256": inventory, "corpus_fingerprint": corpus,
+        "sources": {"source_count": listed.count(), "file_types": types}, "chunk_count": count, "inventory_method": "tree", "chunk_inventory_sha256": inventory, "corpus_fingerprint": corpus,
     }
     if derived_from:
         manifest["derived_from"] = derived_from
@@ -97,41 +96,36 @@ def write(chunks: DataFrame, path: str, name: str, chunking: dict, sources: Data
     if interchange:
         with open(f"{path}/data/chunks.jsonl", "w", encoding="utf-8", newline="\n") as f:
             f.writelines(jsonl_lines(rows, [F.col("doc_id"), F.col("doc_chunk_index"), F.col("chunk_id")]))
-    write_json(f"{path}/dataset.json", manifest)
+    write_json(spark, f"{path}/dataset.json", manifest)
     return read(spark, path)
 
 
-def write_json(path: str, value: dict) -> None:
+def write_json(spark: SparkSession, path: str, value: dict) -> None:
     """Write a small file whole or not at all."""
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    part = f"{path}.{uuid.uuid4().hex[:8]}"
-    with open(part, "w", encoding="utf-8") as f:
-        json.dump(value, f, ensure_ascii=False, indent=2)
-        f.write("\n")
-    os.replace(part, path)
+    write_text(spark, path, json.dumps(value, ensure_ascii=False, indent=2) + "\n")
 
 
 def read(spark: SparkSession, path: str, verify: bool = True) -> Dataset:
-    """Open a dataset. With ``verify`` every identity is recomputed and a difference raises; without, it is a warning."""
+    """Open a dataset. With ``verify`` every identity is recomputed and a difference raises; without, nothing is read but the manifest."""
     try:
-        with open(f"{path}/dataset.json", encoding="utf-8") as f:
-            manifest = json.load(f)
-    except (OSError, ValueError) as e:
+        manifest = json.loads(read_text(spark, f"{path}/dataset.json"))
+    except (OSError, ValueError, FileNotFoundError) as e:
         raise DatasetIntegrityError(f"{path}: no readable manifest") from e
     if manifest.get("spec") != SPEC or str(manifest.get("spec_version", "")).split(".")[0] != "1":
         raise DatasetIntegrityError(f"{path}: not a dataset of this format")
     chunks = spark.read.schema(schema.CHUNK).parquet(f"{path}/data/chunks")
     sources = spark.read.parquet(f"{path}/data/sources")
-    method = manifest.get("inventory_method", "lines")
-    inventory, corpus = hashing.chunk_inventory_sha256(chunks, method), hashing.corpus_fingerprint(sources, method)
+    if not verify:
+        return Dataset(path, manifest, chunks, sources, False)
+    inventory, corpus = hashing.chunk_inventory_sha256(chunks), hashing.corpus_fingerprint(sources)
     facts = {
         "chunk_inventory_sha256": inventory, "dataset_id": hashing.dataset_id(inventory), "corpus_fingerprint": corpus, "chunk_count": chunks.count(),
         "core_sha256": core_sha256(manifest, inventory, corpus),
     }
     wrong = tuple(f"{k} is {manifest.get(k)!r}, recomputed {v!r}" for k, v in facts.items() if manifest.get(k) != v)
-    if wrong and verify:
+    if wrong:
         raise DatasetIntegrityError(f"{path}: " + "; ".join(wrong))
-    return Dataset(path, manifest, chunks, sources, not wrong, wrong)
+    return Dataset(path, manifest, chunks, sources, True)
 
 
 # Areas beside the core -------------------------------------------------------------------
@@ -142,19 +136,18 @@ def write_envelope(dataset: Dataset, area: str, tool: str, body: dict) -> str:
     if area not in ("extensions", "analysis") or not tool or "/" in tool or tool.startswith("."):
         raise ValueError("an envelope belongs to a named tool under extensions or analysis")
     path = f"{dataset.path}/{area}/{tool}/{area.rstrip('s')}.json"
-    write_json(path, {"tool": tool, "created_at": now(), "core_sha256": dataset.manifest["core_sha256"], **body})
+    write_json(dataset.chunks.sparkSession, path, {"tool": tool, "created_at": now(), "core_sha256": dataset.manifest["core_sha256"], **body})
     return path
 
 
 def list_envelopes(dataset: Dataset, area: str) -> list[dict]:
     """Envelopes with ``problems``: unreadable ones and those of another core are listed, not hidden."""
     out = []
-    root = f"{dataset.path}/{area}"
-    for tool in sorted(os.listdir(root)) if os.path.isdir(root) else []:
+    root, spark = f"{dataset.path}/{area}", dataset.chunks.sparkSession
+    for tool in names_in(spark, root):
         problems, body = [], {}
         try:
-            with open(f"{root}/{tool}/{area.rstrip('s')}.json", encoding="utf-8") as f:
-                body = json.load(f)
+            body = json.loads(read_text(spark, f"{root}/{tool}/{area.rstrip('s')}.json"))
         except (OSError, ValueError):
             problems.append("no readable envelope")
         if body and body.get("core_sha256") != dataset.manifest["core_sha256"]:
@@ -167,12 +160,12 @@ def sync(dataset: Dataset, backend: DataFrame, path: str, audit_id: str | None =
     """A new dataset with the backend's chunks, whose manifest names the one it comes from."""
     origin = {"dataset_id": dataset.dataset_id, "core_sha256": dataset.manifest["core_sha256"]}
     if audit_id:
-        cited = f"{dataset.path}/audits/{audit_id}/summary.json"
-        if not os.path.exists(cited):
-            raise DatasetIntegrityError(f"no audit {audit_id} of this dataset")
-        with open(cited, encoding="utf-8") as f:
-            if json.load(f)["core_sha256"] != dataset.manifest["core_sha256"]:
-                raise DatasetIntegrityError(f"audit {audit_id} is of another core")
+        try:
+            cited = json.loads(read_text(backend.sparkSession, f"{dataset.path}/audits/{audit_id}/summary.json"))
+        except FileNotFoundError as e:
+            raise DatasetIntegrityError(f"no audit {audit_id} of this dataset") from e
+        if cited["core_sha256"] != dataset.manifest["core_sha256"]:
+            raise DatasetIntegrityError(f"audit {audit_id} is of another core")
         origin["audit_id"] = audit_id
     return write(backend, path, name or dataset.manifest["name"], dataset.manifest["chunking"], derived_from=origin)
 
@@ -183,15 +176,25 @@ def record_audit(dataset: Dataset, found, connector: str) -> str:
     root = f"{dataset.path}/audits/{audit_id}"
     found.chunks.write.mode("errorifexists").parquet(f"{root}/chunks")
     found.documents.write.mode("errorifexists").parquet(f"{root}/documents")
-    write_json(f"{root}/summary.json", {"audit_id": audit_id, "connector": connector, "created_at": now(), "core_sha256": dataset.manifest["core_sha256"], "in_sync": found.in_sync, "signals": found.signals})
+    write_json(found.chunks.sparkSession, f"{root}/summary.json", {"audit_id": audit_id, "connector": connector, "created_at": now(), "core_sha256": dataset.manifest["core_sha256"], "in_sync": found.in_sync, "signals": found.signals})
     return audit_id
 
 
 def list_audits(dataset: Dataset) -> list[dict]:
-    root, out = f"{dataset.path}/audits", []
-    for name in sorted(os.listdir(root)) if os.path.isdir(root) else []:
-        with open(f"{root}/{name}/summary.json", encoding="utf-8") as f:
-            out.append(json.load(f))
-    return out
+    spark, root = dataset.chunks.sparkSession, f"{dataset.path}/audits"
+    return [json.loads(read_text(spark, f"{root}/{name}/summary.json")) for name in names_in(spark, root)]
 
 
+def read_legacy(spark: SparkSession, path: str) -> Dataset:
+    """A folder of an earlier layout: ``chunks.jsonl`` (or ``data/chunks.jsonl``) and a manifest if there is one; nothing in it is verified."""
+    from granary.sources.files import read_chunks_jsonl
+
+    try:
+        manifest = json.loads(read_text(spark, f"{path}/dataset.json"))
+    except (OSError, ValueError):
+        manifest = {}
+    places = [f"{path}/{x}chunks.jsonl" for x in ("data/", "") if "chunks.jsonl" in names_in(spark, f"{path}/{x}".rstrip("/"))]
+    if not places:
+        raise DatasetIntegrityError(f"{path}: no chunks.jsonl")
+    chunks = read_chunks_jsonl(spark, places[0])
+    return Dataset(path, {"name": path.rstrip("/").rsplit("/", 1)[-1], "dataset_id": None, **manifest}, chunks, source_list(chunks), False, ("read from an earlier layout, not verified",))

@@ -11,7 +11,7 @@ VERSIONED = "k string, a string, b int, m string, v timestamp, side string"
 
 
 def got(df):
-    return sorted(tuple(r) for r in df.collect())
+    return sorted((tuple(r) for r in df.collect()), key=str)
 
 
 def test_differences_by_field(spark):
@@ -21,7 +21,20 @@ def test_differences_by_field(spark):
         VERSIONED,
     )
     found = diff(left, right, "k", ["a", "b", "m"], right_version="v", json_fields={"m": ["p"]})
-    assert got(found) == [("2", "a"), ("3", "only_in_left"), ("4", "only_in_right")]
+    assert got(found) == [("2", "a"), ("3", "only_in_left"), ("4", "only_in_right"), (None, "only_in_left"), (None, "only_in_right")]
+
+
+def test_null_keys_match_one_for_one(spark):
+    left = spark.createDataFrame([(None, "x", 1, "{}", "")] * 3 + [(None, "y", 1, "{}", "")], KIND)
+    right = spark.createDataFrame([(None, "x", 1, "{}", "")], KIND)
+    assert got(diff(left, right, "k", ["a", "b"])) == [(None, "only_in_left")] * 3
+
+
+def test_superseded_versions_in_equal_ranges(spark):
+    left = spark.createDataFrame([(str(i), "x", i, "{}", "") for i in range(200)], KIND)
+    old = [(str(i), "old", i, "{}", datetime(2020, 1, 1), "") for i in range(0, 200, 3)]
+    right = spark.createDataFrame(old + [(str(i), "x" if i != 9 else "z", i, "{}", datetime(2020, 1, 2), "") for i in range(200)], VERSIONED)
+    assert got(diff(left, right, "k", ["a", "b"], right_version="v", bits_per_level=3)) == [("9", "a")]
 
 
 def test_equal_and_empty_sides(spark):
@@ -51,4 +64,4 @@ def test_against_brute_force(spark, a, b):
     frame = lambda d: spark.createDataFrame([(str(k), *v) for k, v in d.items()], "k string, x string, y string")
     want = [(str(k), "only_in_left") for k in a.keys() - b.keys()] + [(str(k), "only_in_right") for k in b.keys() - a.keys()]
     want += [(str(k), f) for k in a.keys() & b.keys() for i, f in enumerate("xy") if a[k][i] != b[k][i]]
-    assert got(diff(frame(a), frame(b), "k", ["x", "y"])) == sorted(want)
+    assert got(diff(frame(a), frame(b), "k", ["x", "y"])) == sorted(want, key=str)

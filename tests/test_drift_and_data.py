@@ -84,7 +84,7 @@ def test_dataset_round_trip_and_tampering(spark, chunk_frame, tmp_path):
     (tmp_path / "ds/dataset.json").write_text(json.dumps(manifest))
     with pytest.raises(DatasetIntegrityError):
         dataset.read(spark, out)
-    assert dataset.read(spark, out, verify=False).warnings
+    assert not dataset.read(spark, out, verify=False).verified
 
 
 @pytest.mark.parametrize("row", [("a:0", "a", 2, "again"), ("x", "", 0, "no document"), ("x", "d", None, "no place"), ("x", "d", 0, "  "), (None, "d", 0, "no id")])
@@ -93,21 +93,31 @@ def test_contract_is_checked(chunk_frame, tmp_path, row):
         dataset.write(chunk_frame([*ROWS, row]), str(tmp_path / "x"), "n", {})
 
 
-def test_inventory_is_the_stated_hash(chunk_frame):
+def test_lines_hash_is_the_stated_one(chunk_frame):
     import hashlib
 
     lines = "".join(f"{r[0]}\t{hashlib.sha256(r[3].encode()).hexdigest()}\n" for r in ROWS)
-    assert hashing.chunk_inventory_sha256(chunk_frame(ROWS[::-1])) == hashlib.sha256(lines.encode()).hexdigest()
+    assert hashing.lines_sha256(hashing.inventory_lines(chunk_frame(ROWS[::-1])), "chunk_id") == hashlib.sha256(lines.encode()).hexdigest()
 
 
-def test_tree_identity(chunk_frame, monkeypatch, spark, tmp_path):
+def test_identity_depends_on_rows_only(chunk_frame, spark, tmp_path):
     a, b = chunk_frame(ROWS), chunk_frame(ROWS[::-1]).repartition(3)
-    assert hashing.chunk_inventory_sha256(a, "tree") == hashing.chunk_inventory_sha256(b, "tree") != hashing.chunk_inventory_sha256(a.limit(2), "tree")
-    monkeypatch.setattr(hashing, "MOST_LINES", 1)
+    assert hashing.chunk_inventory_sha256(a) == hashing.chunk_inventory_sha256(b) != hashing.chunk_inventory_sha256(a.limit(2))
+    assert hashing.chunk_inventory_sha256(a.limit(0))
     made = dataset.write(a, str(tmp_path / "t"), "n", {})
     assert made.manifest["inventory_method"] == "tree" and dataset.read(spark, made.path).verified
 
 
+def test_legacy_layout(spark, chunk_frame, tmp_path):
+    made = dataset.write(chunk_frame(ROWS), str(tmp_path / "ds"), "n", {}, interchange=True)
+    (tmp_path / "old").mkdir()
+    (tmp_path / "ds/data/chunks.jsonl").rename(tmp_path / "old/chunks.jsonl")
+    old = dataset.read_legacy(spark, str(tmp_path / "old"))
+    assert not old.verified and old.warnings and hashing.chunk_inventory_sha256(old.chunks) == made.manifest["chunk_inventory_sha256"] and old.sources.count() == 2
+    with pytest.raises(DatasetIntegrityError):
+        dataset.read_legacy(spark, str(tmp_path / "none"))
+
+
 def test_bad_lines(spark, tmp_path):
     for i, line in enumerate(['{"chunk_id": "a", "surprise": 1}', "not json", "[1]"]):
         (tmp_path / f"{i}.jsonl").write_text(line + "\n")

@@ -38,11 +38,6 @@ def test_columns(spark):
     assert out[2].n.startswith("…") and out[2].n.endswith("…") and len(out[2].n) == 302 and out[2].h is False
 
 
-def test_shingles(spark):
-    df = spark.createDataFrame([(["a", "b", "c", "a", "b"],), (["a"],), ([],)], "w array<string>")
-    assert [sorted(r[0]) for r in df.select(t.shingles(F.col("w"), 2)).collect()] == [["a b", "b c", "c a"], [], []]
-
-
 @given(st.text(" ab.\n?", max_size=200), st.integers(5, 40), st.integers(0, 4))
 def test_spans(text, size, overlap):
     found = list(spans(text, size, overlap))

@@ -92,8 +92,8 @@ def _starts(phrase: Phrase, token: Column, positions: Column) -> Column:
     return F.array(*parts)
 
 
-def matches(posts: DataFrame, expression: Expression, titles: bool = False) -> tuple[DataFrame, DataFrame]:
-    """``(chunk_id, f)`` of the chunks that match, ``f`` the instances per scored phrase, and the one-row ``(n...)`` of chunks per phrase.
+def counted(posts: DataFrame, expression: Expression, titles: bool = False) -> DataFrame:
+    """``(chunk_id, f, hit)`` of the chunks with any token asked for: ``f`` the instances per scored phrase, ``hit`` whether the chunk matches.
 
     Only the postings of the tokens asked for are read.
     """
@@ -140,12 +140,19 @@ def matches(posts: DataFrame, expression: Expression, titles: bool = False) -> t
         tests.append(reduce(or_, [c > 0 for c in f]))
     for p in expression.not_:
         tests.append(instances(p)[0] == 0)
-    columns = [c.cast("double").alias(f"f{i}") for i, c in enumerate(frequency)]
-    counted = grouped.select("chunk_id", *columns, reduce(and_, tests).alias("hit") if tests else F.lit(True).alias("hit"))
-    n = len(columns)
-    stats = counted.agg(*[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(n)]) if n else None
-    f = F.array(*[F.col(f"f{i}") for i in range(n)]) if n else F.array().cast("array<double>")
-    return counted.where("hit").select("chunk_id", f.alias("f")), stats
+    f = F.array(*[c.cast("double") for c in frequency]) if frequency else F.array().cast("array<double>")
+    return grouped.select("chunk_id", f.alias("f"), (reduce(and_, tests) if tests else F.lit(True)).alias("hit"))
+
+
+def hits(counted_: DataFrame) -> DataFrame:
+    """``(chunk_id, f)`` of the chunks that match."""
+    return counted_.where("hit").select("chunk_id", "f")
+
+
+def statistics(counted_: DataFrame) -> list[int]:
+    """Chunks per scored phrase, whether they match or not."""
+    rows = counted_.select(F.posexplode("f").alias("i", "f")).groupBy("i").agg(F.count_if(F.col("f") > 0)).orderBy("i").collect()  # one row per phrase
+    return [r[1] for r in rows]
 
 
 def _following(starts: Column, later: Column, by: int) -> Column:
@@ -178,7 +185,7 @@ def _in_some(spans: Column):
     return lambda x: F.exists(spans, lambda w: (x >= w["a"]) & (x <= w["b"]))
 
 
-def bm25(hits: DataFrame, stats: list[int], sizes: DataFrame, rows: int, mean: float) -> DataFrame:
+def bm25(hits_: DataFrame, stats: list[int], sizes: DataFrame, rows: int, mean: float) -> DataFrame:
     """``(chunk_id, score)``: BM25 over the whole index's statistics, rounded to 4 digits.
 
     ``stats``: chunks per scored phrase; ``rows`` and ``mean``: number and mean size of all chunks.
@@ -189,4 +196,4 @@ def bm25(hits: DataFrame, stats: list[int], sizes: DataFrame, rows: int, mean: f
     idf = [x if (x := math.log((rows - n + 0.5) / (n + 0.5))) > 0 else 1e-6 for n in stats]
     norm = F.lit(K1) * (1 - B + B * F.col("size") / F.lit(float(mean)))
     score = reduce(lambda a, b: a + b, [F.lit(w) * F.col("f")[i] * (K1 + 1) / (F.col("f")[i] + norm) for i, w in enumerate(idf)], F.lit(0.0))
-    return hits.join(sizes, "chunk_id").select("chunk_id", F.round(score, 4).alias("score"))
+    return hits_.join(sizes, "chunk_id").select("chunk_id", F.round(score, 4).alias("score"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass, field, replace
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,16 +78,20 @@ def build(chunks: DataFrame, path: str, core: str = "", width: int = cp.WIDTH) -
 
 @dataclass
 class SearchResult:
-    """``hits`` (ranked), ``total``, and counts of all hits ``by_doc`` and ``by_module``; ``shown`` is how many hits are kept."""
+    """``hits`` (ranked), ``total``, ``rows`` (all hits, unranked), and counts of all hits ``by_doc`` and ``by_module``; ``shown`` is how many hits are kept."""
 
     hits: DataFrame
-    total: int
+    rows: DataFrame
     by_doc: DataFrame
     by_module: DataFrame
     query: dict
     limit: int | None = None
     filter: dict = field(default_factory=dict)
 
+    @cached_property
+    def total(self) -> int:
+        return self.rows.count()
+
     @property
     def shown(self) -> int:
         return self.total if self.limit is None else min(self.total, self.limit)
@@ -226,12 +230,13 @@ class SearchIndex:
             if names:
                 rows = rows.join(reduce(DataFrame.union, [self.documents(d) for d in names]), "doc_id", how)
         if expression.scored():
-            hits, stats = ps.matches(self.tables["postings"], expression, titles)
-            scored = ps.bm25(hits, list(stats.first()), self.tables["sizes"], self.rows, self.mean_size)
+            # Postings are matched once; statistics, hits and totals all come from what is written here.
+            counted = materialize(ps.counted(self.tables["postings"], expression, titles), "matches")
+            scored = ps.bm25(ps.hits(counted), ps.statistics(counted), self.tables["sizes"], self.rows, self.mean_size)
             rows = rows.join(scored, "chunk_id")
         elif expression.not_:
             every = ps.Expression(any=[expression.not_])
-            rows = rows.join(ps.matches(self.tables["postings"], every, titles)[0], "chunk_id", "left_anti").withColumn("score", F.lit(None).cast("double"))
+            rows = rows.join(ps.hits(ps.counted(self.tables["postings"], every, titles)), "chunk_id", "left_anti").withColumn("score", F.lit(None).cast("double"))
         elif conditions or docs or exclude_docs:
             rows = rows.withColumn("score", F.lit(None).cast("double"))
         else:
@@ -240,14 +245,13 @@ class SearchIndex:
         counted = rows.groupBy("doc_id", "task_id").count()
         by_doc = counted.groupBy("doc_id").agg(F.sum("count").alias("hits")).orderBy(F.desc("hits"), "doc_id")
         by_module = counted.groupBy("task_id").agg(F.sum("count").alias("hits")).orderBy(F.desc("hits"), "task_id")
-        total = rows.count()
         first = self._first(expression, needles, list(regex))
         shown = rows.withColumn("match_at", first).orderBy(*order)
         shown = shown.limit(limit) if limit is not None else shown
         heading = F.coalesce(F.try_element_at(F.transform(F.filter("headings", lambda h: h["offset"] <= F.col("match_at")), lambda h: h["title"]), F.lit(-1)), F.col("heading_before"))
         shown = shown.select(*HIT_COLUMNS, "score", heading.alias("heading"), tx.snippet(F.col("plain"), F.col("match_at")).alias("snippet"))
         query = {k: v for k, v in {"all": list(all), "any": groups, "not": list(not_), "phrase": list(phrase), "near": list(near), "regex": list(regex), "substring": list(substring)}.items() if v}
-        return SearchResult(shown, total, by_doc, by_module, query, limit, self.scope)
+        return SearchResult(shown, rows, by_doc, by_module, query, limit, self.scope)
 
     def _conditions(self, modules, general_only, types) -> list[Column]:
         out = []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,8 @@ from granary.functions import hashing
 from granary.functions import text as tx
 from granary.operators import audit, book, chunker, copies, filters, ordered, retrieval
 from granary.operators import diff as table_diff
-from granary.operators.search import SearchIndex, index_rows
-from granary.session import materialize, read
+from granary.operators.search import SearchIndex, build, index_rows
+from granary.session import materialize, read, shared_dir
 
 CHUNK_FIELDS = ["doc_id", "source_file", "doc_chunk_index", "char_start", "char_end", "content_module_id", "text", "metadata"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -241,8 +242,17 @@ WITH tok AS (SELECT chunk_id, doc_id, content_module_id AS task_id, coalesce(jso
 """
 
 
+_built: dict[tuple[str, str], str] = {}
+
+
 def _index(spark, folder) -> SearchIndex:
-    return SearchIndex.over(_chunks(spark, folder))
+    """The index of a folder's chunks: built once per application, below the shared folder, and opened by every query."""
+    key = spark.sparkContext.applicationId, folder
+    if key not in _built:
+        path = f"{shared_dir(spark)}/granary/search-{uuid.uuid4().hex}"
+        build(_chunks(spark, folder), path)
+        _built[key] = path
+    return SearchIndex.open(spark, _built[key])
 
 
 def _hits(result) -> DataFrame:

@@ -75,7 +75,7 @@ def _file_system(spark: SparkSession, path: str):
 def _plain(spark: SparkSession, path: str):
     """The file system without checksum files beside what is written: small files may be edited by hand."""
     system, target = _file_system(spark, path)
-    return (system.getRawFileSystem() if system.getClass().getSimpleName() == "LocalFileSystem" else system), target
+    return (system.getRawFileSystem() if system.getScheme() == "file" else system), target
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:

@@ -7,6 +7,7 @@ their own, so an outer table cannot be named.
 
 from __future__ import annotations
 
+import re
 import threading
 import uuid
 from dataclasses import dataclass
@@ -88,6 +89,37 @@ def check(spark: SparkSession, statement: str) -> str:
     return text
 
 
+#: Literals and comments are skipped; what is left of MATCH('...') is a table.
+_MATCH = re.compile(r"""\bMATCH\s*\(\s*'(?P<match>(?:[^']|'')*)'\s*\)|'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/""", re.I | re.S)
+_ITEM = re.compile(r"""NEAR\s*\(\s*(?P<near>[^,()]+?)\s*,\s*(?P<by>\d+)\s*\)|(?P<not>-|NOT\s+)?(?:"(?P<phrase>[^"]*)"|(?P<word>[^\s"()]+))""")
+
+
+def match_arguments(expression: str) -> dict:
+    """A search's arguments from ``word "a phrase" prefix* -without NEAR(a b, 5) this OR that``; what stands side by side must all hold."""
+    found: dict[str, list] = {"all": [], "any": [], "not_": [], "phrase": [], "near": []}
+    group: list[str] = []
+    items = list(_ITEM.finditer(expression))
+    bare = lambda i: 0 <= i < len(items) and items[i]["word"] == "OR" and not items[i]["not"]
+    for i, m in enumerate(items):
+        term = m["phrase"] if m["phrase"] is not None else m["word"]
+        if m["near"]:
+            found["near"].append((*m["near"].split(), int(m["by"])))
+        elif bare(i) or term == "AND":
+            continue
+        elif m["not"]:
+            found["not_"].append(term)
+        elif bare(i - 1) or bare(i + 1):
+            group.append(term)
+            if not bare(i + 1):
+                found["any"].append(group)
+                group = []
+        else:
+            found["phrase" if m["phrase"] is not None else "all"].append(term)
+    if not any(found.values()):
+        raise SearchIndexError("MATCH of nothing")
+    return found
+
+
 @dataclass
 class SqlResult:
     columns: list[str]
@@ -98,20 +130,41 @@ class SqlResult:
 class SqlSurface:
     """Tables under plain names, and SELECTs over them."""
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame]):
-        self.outer = spark
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], index=None):
+        """``index``: a search index; with it ``MATCH('...')`` is a table ``(chunk_id, score)`` of the chunks that match."""
+        self.outer, self.index, self._matched = spark, index, {}
         self.session = spark.newSession()
         self.session.conf.set("spark.sql.runSQLOnFiles", "false")
         self.session.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
         self.session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
         for name, df in tables.items():
-            # The same plan, seen from the session that holds nothing else.
-            jdf = self.session._jvm.org.apache.spark.sql.classic.Dataset.ofRows(self.session._jsparkSession, df._jdf.queryExecution().analyzed())
-            DataFrame(jdf, self.session).createOrReplaceTempView(name)
+            self._add(name, df)
+
+    def _add(self, name: str, df: DataFrame) -> None:
+        # The same plan, seen from the session that holds nothing else.
+        jdf = self.session._jvm.org.apache.spark.sql.classic.Dataset.ofRows(self.session._jsparkSession, df._jdf.queryExecution().analyzed())
+        DataFrame(jdf, self.session).createOrReplaceTempView(name)
+
+    def _with_matches(self, statement: str) -> str:
+        """The statement with every ``MATCH('...')`` outside of literals and comments made the name of a table of what matches."""
+
+        def table(m: re.Match) -> str:
+            if m["match"] is None:
+                return m[0]
+            if self.index is None:
+                raise SearchIndexError("MATCH needs a search index")
+            asked = m["match"].replace("''", "'")
+            if asked not in self._matched:
+                self._matched[asked] = f"match_{len(self._matched) + 1}"
+                hits = self.index.search(**match_arguments(asked)).rows.select("chunk_id", "score")
+                self._add(self._matched[asked], hits)
+            return self._matched[asked]
+
+        return _MATCH.sub(table, statement)
 
     def frame(self, statement: str) -> DataFrame:
         """The statement's result as a DataFrame, all rows."""
-        return self.session.sql(check(self.session, statement))
+        return self.session.sql(check(self.session, self._with_matches(statement)))
 
     def run(self, statement: str, limit: int | None = None, seconds: float = SECONDS) -> SqlResult:
         """At most ``limit`` rows (500 without one, also an upper bound) within ``seconds``; long cells are shortened and binary ones described.

@@ -209,12 +209,6 @@ def overlap_pairs_of_eight(spark, folder):
     return copies.overlap_pairs(copies.near_table(_chunks(spark, folder)), width=8)
 
 
-@query()
-def overlap_groups(spark, folder):
-    near = copies.near_table(_chunks(spark, folder))
-    return copies.overlap_groups(materialize(copies.overlap_pairs(near), "pairs"), near)
-
-
 @query("""
 WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, l_suppkey + 10000000 AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity = 50 AND l_discount = 0.1),
 u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
@@ -552,3 +546,7 @@ _sql("sql_pricing_summary", _PRICING.format("timestamp_ntz"), _PRICING.format("t
 @query(rf"SELECT chunk_id, trim(regexp_replace(regexp_replace(text, '\\([!-/:-@\[-`{{-~]|\n)', '\1', 'g'), '{_BLANK_SQL}', ' ', 'g')) AS plain FROM chunks")
 def plain_texts(spark, folder):
     return _chunks(spark, folder).select("chunk_id", tx.collapsed(tx.plain(F.col("text"))).alias("plain"))
+
+
+# The rest is registered on import.
+from granary import more_queries as _more  # noqa: E402, F401

@@ -26,7 +26,10 @@ def parser() -> argparse.ArgumentParser:
             x.add_argument("--dataset", required=True)
         if name in ("export", "sync"):
             x.add_argument("--out", required=True), x.add_argument("--name", default="corpus")
+        if name in ("audit", "sync"):
+            x.add_argument("--label", default=""), x.add_argument("--host", default="")
         if name == "check":
+            x.add_argument("--snapshot-at", help="an ISO-8601 time with a zone")
             x.add_argument("--sample-percent", type=float, default=0), x.add_argument("--seed", type=int, default=0)
         if name == "sync":
             x.add_argument("--audit")
@@ -38,16 +41,19 @@ def parser() -> argparse.ArgumentParser:
     x = sub.add_parser("datasets-dir")
     x.add_argument("--set"), x.add_argument("--unset", action="store_true"), x.add_argument("--json", action="store_true")
     x = sub.add_parser("validate", help="conformance of a backend")
-    x.add_argument("--connector", default="table"), x.add_argument("--params", type=json.loads, default={}), x.add_argument("--vector", type=json.loads, required=True), x.add_argument("--top-k", type=int, default=5)
+    x.add_argument("--connector", default="table"), x.add_argument("--params", type=json.loads, default={}), x.add_argument("--vector", type=json.loads), x.add_argument("--skip-stability", action="store_true"), x.add_argument("--top-k", type=int, default=5)
     x = sub.add_parser("provision", help="build a table store from a dataset")
     x.add_argument("--dataset", required=True), x.add_argument("--store", required=True), x.add_argument("--embedder", required=True, help="module:function"), x.add_argument("--append", action="store_true")
     i = sub.add_parser("index").add_subparsers(dest="what", required=True)
-    i.add_parser("prepare").add_argument("--dataset", required=True)
+    x = i.add_parser("prepare")
+    x.add_argument("--dataset", required=True), x.add_argument("--stopword", action="append", default=[])
     i.add_parser("status").add_argument("--dataset", required=True)
-    for name, args in {"search": (), "neighbors": ("chunk",), "outline": ("doc",), "copies": ("chunk",), "sql": ("statement",), "lookup": ("query",)}.items():
+    for name, args in {"search": (), "neighbors": ("chunk",), "outline": ("doc",), "copies": ("chunk",), "sql": ("statement",), "lookup": ("query",), "signal-lookup": ("query",)}.items():
         x = i.add_parser(name)
         for a in args:
-            x.add_argument(a)
+            x.add_argument(a, nargs="?" if name == "sql" else None)
+        if name == "sql":
+            x.add_argument("--schema", action="store_true", help="list tables and columns"), x.add_argument("--full", action="store_true", help="do not shorten cells")
         x.add_argument("--dataset", required=True), x.add_argument("--filter", type=json.loads), x.add_argument("--json", action="store_true"), x.add_argument("--limit", type=int, default=20)
         if name == "search":
             for flag in ("term", "any", "not", "phrase", "regex", "substring", "module", "doc", "exclude-doc", "type"):
@@ -95,8 +101,9 @@ def run(a: argparse.Namespace) -> int:
     if a.verb == "validate":
         from granary.operators import checks
 
-        queries = spark.createDataFrame([("probe", [float(v) for v in a.vector])], "query_id string, vector array<double>")
-        report = checks.validate_connector(connectors.connect(spark, a.connector, a.params), queries, a.top_k, a.params)
+        queries = spark.createDataFrame([("probe", [float(v) for v in a.vector])], "query_id string, vector array<double>") if a.vector else None
+        connect = lambda: connectors.connect(spark, a.connector, a.params)
+        report = checks.validate_connector(connect(), queries, a.top_k, a.params, None if a.skip_stability else connect, not a.skip_stability)
         show(report.orderBy("n"), False)
         return 0 if checks.ready(report) else 2
     if a.verb == "provision":
@@ -112,15 +119,24 @@ def run(a: argparse.Namespace) -> int:
         data = dataset.read(spark, a.dataset)
         search.build(data.chunks, f"{a.dataset}/analysis/search/tables", data.manifest["core_sha256"])
         dataset.write_envelope(data, "analysis", "search", {"artifact": "tables"})
+        book.BookIndex(data.chunks, tuple(a.stopword)).write(f"{a.dataset}/analysis/book/tables", data.manifest["core_sha256"])
+        dataset.write_envelope(data, "analysis", "book", {"artifact": "tables", "stopwords": a.stopword})
         return 0
     if a.what == "status":
-        try:
-            _index(spark, a)
-            print("search: current")
-        except search.SearchIndexMissing:
-            print("search: missing")
-        except search.StaleSearchIndex:
-            print("search: stale")
+        core = dataset.read(spark, a.dataset, verify=False).manifest["core_sha256"]
+        for name, opened in (("search", lambda: _index(spark, a)), ("book", lambda: book.BookIndex.open(spark, f"{a.dataset}/analysis/book/tables", core))):
+            try:
+                opened()
+                print(f"{name}: current")
+            except search.SearchIndexMissing:
+                print(f"{name}: missing")
+            except search.StaleSearchIndex:
+                print(f"{name}: stale")
+        return 0
+    if a.what == "signal-lookup":
+        from granary.operators import signals
+
+        show(signals.find(spark.read.parquet(f"{a.dataset}/analysis/signals/results"), a.query), a.json, a.limit)
         return 0
     data, index = _index(spark, a)
     if a.what == "search":
@@ -138,9 +154,16 @@ def run(a: argparse.Namespace) -> int:
         show(index.copies(a.chunk), a.json)
     elif a.what == "lookup":
         scope = index.chunks.select("chunk_id") if index.scope else None
-        show(book.BookIndex(data.chunks).lookup(a.query, scope), a.json)
+        opened = book.BookIndex.open(spark, f"{a.dataset}/analysis/book/tables", data.manifest["core_sha256"])
+        show(opened.lookup(a.query, scope), a.json)
+        show(opened.lookup_threads(a.query, scope), a.json)
     else:
-        found = SqlSurface(spark, {t: index.table(t) for t in ("chunks", "copy_groups", "overlap_pairs")}).run(a.statement, a.limit)
+        tables = {t: index.table(t) for t in ("chunks", "copy_groups", "overlap_pairs")}
+        if a.schema or not a.statement:
+            for name, table in tables.items():
+                print(name, ", ".join(f"{c} {t}" for c, t in table.dtypes))
+            return 0
+        found = SqlSurface(spark, tables, index).run(a.statement, a.limit, shorten=not a.full)
         print("\t".join(found.columns))
         for r in found.rows:
             print("\t".join("" if v is None else str(v) for v in r))
@@ -169,7 +192,7 @@ def _dataset(spark, a) -> int:
     data = dataset.read(spark, a.dataset)
     if a.what == "audit":
         found = audit.audit(data.chunks, backend.chunks())
-        recorded = None if a.no_record else dataset.record_audit(data, found, a.connector)
+        recorded = None if a.no_record else dataset.record_audit(data, found, a.connector, a.label, a.host)
         print(json.dumps({"in_sync": found.in_sync, "signals": found.signals, "audit_id": recorded}))
     elif a.what == "check":
         kinds = {r[0]: r[1] for r in audit.structure(data.chunks, backend.chunks()).groupBy("difference").count().collect()}
@@ -177,9 +200,12 @@ def _dataset(spark, a) -> int:
         if a.sample_percent:
             drawn = audit.sampled_text_changes(data.chunks, backend.chunks(), a.sample_percent, a.seed)
             out["sample"] = {r[0]: r[1] for r in drawn.groupBy("state").agg(F.count("*")).collect()}
+        if a.snapshot_at:
+            state = backend.check_snapshot(a.snapshot_at)
+            out["snapshot"] = {"status": state.status, "detail": state.detail}
         print(json.dumps(out))
     else:
-        print(dataset.sync(data, backend.chunks(), a.out, a.audit, a.name).dataset_id)
+        print(dataset.sync(data, backend.chunks(), a.out, a.audit, a.name, {"label": a.label, "host": a.host}).dataset_id)
     return 0
 
 

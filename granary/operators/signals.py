@@ -90,7 +90,7 @@ def merged(found: list[tuple[int, int, tuple[str, ...]]]) -> list[tuple[int, int
 def build(chunks: DataFrame, path: str, label: Callable[[str, str], tuple[str, int, int]], limit: int | None = None) -> DataFrame:
     """Label the documents that ``path`` has no result of yet and append theirs; returns all results.
 
-    ``label(system, prompt) -> (text, input tokens, output tokens)`` runs in the tasks. A document whose label fails is
+    ``label(system, prompt) -> (text, input tokens, output tokens)`` runs in the tasks, for several small documents at once; if a call of several fails, each goes alone. A document whose label fails is
     recorded with its error and tried again by the next call. Result: ``primary, doc_ids, subjects, input_tokens, output_tokens, error``.
     """
     spark = chunks.sparkSession
@@ -101,21 +101,44 @@ def build(chunks: DataFrame, path: str, label: Callable[[str, str], tuple[str, i
     if limit is not None:
         docs = docs.orderBy("primary").limit(limit)
 
+    def ask(pieces: list[tuple[int, list[str], int, int]]) -> tuple[list[list], int, int]:
+        """Subjects of each piece ``(document, texts, first, end)`` by one call, passages numbered through; and the tokens spent."""
+        shown = [t for _, texts, a, z in pieces for t in texts[a:z]]
+        said, i, o = label(SYSTEM, "\n\n".join(f"[{k + 1}] {t}" for k, t in enumerate(shown)))
+        answer, out, before = json_object(said), [], 0
+        for _, _, a, z in pieces:
+            shift = a - before  # from the numbers in the call to those in the document
+            out.append([(x + shift, y + shift, w) for x, y, w in subjects(answer, before + 1, before + z - a)])
+            before += z - a
+        return out, i, o
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for primary, ids, chunk_ids, texts in zip(b["primary"], b["doc_ids"], b["chunk_ids"], b["texts"]):
-                found, spent, error = [], [0, 0], None
+            documents = [list(t) for t in b["texts"]]
+            pieces = [(d, texts, a, z) for d, texts in enumerate(documents) for a, z in slices(texts)]
+            found: list[list] = [[] for _ in documents]
+            spent, errors = [[0, 0] for _ in documents], [None] * len(documents)
+
+            def take(group: list, found=found, spent=spent) -> None:
+                said, i, o = ask(group)
+                spent[group[0][0]] = [spent[group[0][0]][0] + i, spent[group[0][0]][1] + o]  # a call's tokens are booked on its first document
+                for piece, subs in zip(group, said):
+                    found[piece[0]] += subs
+
+            for at in calls([sum(map(len, texts[a:z])) for _, texts, a, z in pieces]):
+                group = [pieces[k] for k in at]
                 try:
-                    for a, z in slices(list(texts)):
-                        prompt = "\n\n".join(f"[{i + 1}] {texts[i]}" for i in range(a, z))
-                        said, i, o = label(SYSTEM, prompt)
-                        spent = [spent[0] + i, spent[1] + o]
-                        found += subjects(json_object(said), a + 1, z)
-                except Exception as e:  # noqa: BLE001
-                    error = f"{type(e).__name__}: {e}"
-                subs = [{"words": list(w), "chunk_ids": [chunk_ids[k - 1] for k in range(x, y + 1)]} for x, y, w in merged(found)]
-                rows.append((primary, list(ids), subs, *spent, error))
+                    take(group)
+                except Exception:  # noqa: BLE001  one document must not fail its neighbours: each piece by itself
+                    for piece in group:
+                        try:
+                            take([piece])
+                        except Exception as e:  # noqa: BLE001
+                            errors[piece[0]] = f"{type(e).__name__}: {e}"
+            rows = []
+            for d, (primary, ids, chunk_ids) in enumerate(zip(b["primary"], b["doc_ids"], b["chunk_ids"])):
+                subs = [{"words": list(w), "chunk_ids": [chunk_ids[k - 1] for k in range(x, y + 1)]} for x, y, w in merged(found[d])]
+                rows.append((primary, list(ids), subs, *spent[d], errors[d]))
             yield pd.DataFrame(rows, columns=["primary", "doc_ids", "subjects", "input_tokens", "output_tokens", "error"])
 
     kind = "primary string, doc_ids array<string>, subjects array<struct<words:array<string>,chunk_ids:array<string>>>, input_tokens long, output_tokens long, error string"
@@ -138,3 +161,14 @@ def find(results: DataFrame, needle: str) -> DataFrame:
     return rows.where(F.exists("words", lambda w: F.contains(F.lower(w), F.lit(needle.lower()))))
 
 
+
+
+def render(results: DataFrame) -> Iterator[str]:
+    """Lines of a Markdown index of subjects by their first word, streamed in order."""
+    rows = results.select("primary", F.explode("subjects").alias("s")).select(F.explode("s.words").alias("word"), "primary", F.size("s.chunk_ids").alias("n"))
+    last = None
+    for word, primary, n in rows.orderBy(F.lower("word"), "word", "primary").toLocalIterator():
+        if word != last:
+            yield f"- **{word}**"
+            last = word
+        yield f"  - {primary} ({n})"

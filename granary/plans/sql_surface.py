@@ -166,8 +166,8 @@ class SqlSurface:
         """The statement's result as a DataFrame, all rows."""
         return self.session.sql(check(self.session, self._with_matches(statement)))
 
-    def run(self, statement: str, limit: int | None = None, seconds: float = SECONDS) -> SqlResult:
-        """At most ``limit`` rows (500 without one, also an upper bound) within ``seconds``; long cells are shortened and binary ones described.
+    def run(self, statement: str, limit: int | None = None, seconds: float = SECONDS, shorten: bool = True) -> SqlResult:
+        """At most ``limit`` rows (500 without one, also an upper bound) within ``seconds``; with ``shorten`` long cells are shortened and binary ones described.
 
         At the time limit the jobs are cancelled. A task inside an operator that does not look for
         cancellation ends only with it; clusters bound that by ``spark.task.reaper.enabled``.
@@ -193,7 +193,7 @@ class SqlSurface:
         finally:
             timer.cancel()
             context.setLocalProperty("spark.jobGroup.id", None)
-        return SqlResult(df.columns, [tuple(map(cell, r)) for r in rows[:cap]], len(rows) > cap)
+        return SqlResult(df.columns, [tuple(map(cell, r)) if shorten else tuple(r) for r in rows[:cap]], len(rows) > cap)
 
 
 def cell(value: object) -> object:

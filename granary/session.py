@@ -111,6 +111,13 @@ def names_in(spark: SparkSession, path: str) -> list[str]:
     return sorted(x.getPath().getName() for x in system.listStatus(target))
 
 
+def newest_change(spark: SparkSession, path: str) -> float | None:
+    """When the last file of a folder, hidden ones aside, was written, in seconds since 1970."""
+    system, target = _file_system(spark, path)
+    files = [x for x in system.listStatus(target) if x.getPath().getName()[0] not in "._"] if system.exists(target) else []
+    return max((x.getModificationTime() / 1000 for x in files), default=None)
+
+
 _shipped: set[str] = set()
 
 

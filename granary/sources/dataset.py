@@ -156,9 +156,9 @@ def list_envelopes(dataset: Dataset, area: str) -> list[dict]:
     return out
 
 
-def sync(dataset: Dataset, backend: DataFrame, path: str, audit_id: str | None = None, name: str | None = None) -> Dataset:
+def sync(dataset: Dataset, backend: DataFrame, path: str, audit_id: str | None = None, name: str | None = None, about: dict | None = None) -> Dataset:
     """A new dataset with the backend's chunks, whose manifest names the one it comes from."""
-    origin = {"dataset_id": dataset.dataset_id, "core_sha256": dataset.manifest["core_sha256"]}
+    origin = {k: v for k, v in (about or {}).items() if v} | {"dataset_id": dataset.dataset_id, "core_sha256": dataset.manifest["core_sha256"]}
     if audit_id:
         try:
             cited = json.loads(read_text(backend.sparkSession, f"{dataset.path}/audits/{audit_id}/summary.json"))
@@ -170,13 +170,13 @@ def sync(dataset: Dataset, backend: DataFrame, path: str, audit_id: str | None =
     return write(backend, path, name or dataset.manifest["name"], dataset.manifest["chunking"], derived_from=origin)
 
 
-def record_audit(dataset: Dataset, found, connector: str) -> str:
+def record_audit(dataset: Dataset, found, connector: str, label: str = "", host: str = "") -> str:
     """Write an audit's rows and summary under the dataset; audits are never overwritten."""
     audit_id = f"audit-{datetime.now(UTC):%Y%m%dT%H%M%SZ}-{uuid.uuid4().hex[:8]}"
     root = f"{dataset.path}/audits/{audit_id}"
     found.chunks.write.mode("errorifexists").parquet(f"{root}/chunks")
     found.documents.write.mode("errorifexists").parquet(f"{root}/documents")
-    write_json(found.chunks.sparkSession, f"{root}/summary.json", {"audit_id": audit_id, "connector": connector, "created_at": now(), "core_sha256": dataset.manifest["core_sha256"], "in_sync": found.in_sync, "signals": found.signals})
+    write_json(found.chunks.sparkSession, f"{root}/summary.json", {"audit_id": audit_id, "connector": connector, "label": label, "host": host, "created_at": now(), "core_sha256": dataset.manifest["core_sha256"], "in_sync": found.in_sync, "signals": found.signals})
     return audit_id
 
 

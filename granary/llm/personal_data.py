@@ -77,8 +77,8 @@ _ID_BY_LABEL = re.compile(rf"(?:{_ID_LABEL})(?:\s+(?:n\.?[°ºo]\.?|nr\.?|no\.?|
 _ID_ANCHORS = ("passp", "licen", "security", "insurance", "id is", "id card", "id n", "tax ", "identi", "nummer", "ausweis", "reisepass", "steuer", "permis", "fiscal", "sociale", "cni ", "cni:", "sin ", "sin:", "ssn ", "ssn:", "bsn ", "bsn:", "cpf ", "cpf:", "pesel", "dni ", "dni:", "nie ", "nif ", "pasaporte", "seguridad")
 _ID_BY_SHAPE = re.compile(rf"(?<![\w-])(?<!\d[ .,/])(?:{_ID_SHAPE})(?![\w-])(?!\s\d)")
 #: After one of these, seven to fifteen digits are a telephone number whatever their grouping.
-_PHONE_BY_LABEL = re.compile(r"\b(?:phone|telephone|tel|mobile|cell|whatsapp|fax|telefon|handy|mobil|téléphone|teléfono|móvil|portable)(?:\s+(?:no\.?|number|nr\.?|is))?\s*[.:]*\s*([+(]{0,2}\d(?:[-/.() ]{0,2}\d){6,14})(?![\w])(?![-./,]\d)", re.I)
-_PHONE_LABELS = ("phone", "tel", "mobil", "cell", "whatsapp", "fax", "handy", "téléphone", "móvil", "portable")
+_PHONE_BY_LABEL = re.compile(r"(?:phone|telephone|tel|mobile|cell|whatsapp|fax|telefon|handy|mobil|téléphone|teléfono|móvil|portable)(?:\s+(?:no\.?|number|nr\.?|is))?\s*[.:]*\s*([+(]{0,2}\d(?:[-/.() ]{0,2}\d){6,14})(?![\w])(?![-./,]\d)", re.I)
+_PHONE_LABELS = ("phone", "tel", "mobil", "cell", "whatsapp", "fax", "handy", "téléphone", "teléfono", "móvil", "portable")
 #: One record to a line, parts by semicolons: the part after the name.
 _ID_IN_RECORD = re.compile(rf";\s?({_ID_LABELLED})\s?;")
 
@@ -213,7 +213,7 @@ def _persons(text: str, low: str, names: Names, taken: list[tuple[int, int]]) ->
 
 #: Two or three words with capitals, the middle one an initial if there is one; Latin, Greek and Cyrillic.
 _UPPER, _LOWER = "A-ZÀ-ÖØ-ÞĀŁŚŠŻŽΑ-ΩА-ЯЁ", "a-zß-öø-ÿāąćčęěłńňřśšůźżžΆ-ώа-яё"
-_PAIR = re.compile(rf"(?<![\w@.+-])(?!(?:Mr|Mister|Sir|Herrn?|Hr|Señora?|Señorita|Sra?|Srta|Don|Doña|Monsieur|M[rs]s?|Miss|Madame?|Frau|Fr|Mme|Mlle|Dr|Prof)\b)([{_UPPER}][{_LOWER}]+(?:-[{_UPPER}][{_LOWER}]+)?)[ \t]+(?:[{_UPPER}]\.[ \t]*)?((?:(?:van|von|de|del|della|di|da|le|la|al|el|bin|ben)[ \t]+)?(?:[OD]['’]|M[a]?c)?[{_UPPER}][{_LOWER}]+(?:[-'’][{_UPPER}][{_LOWER}]+)*)(?![\w@]|[.+_-]\w)")
+_PAIR = re.compile(rf"([{_UPPER}](?<![\w@.+-].)[{_LOWER}]+(?:-[{_UPPER}][{_LOWER}]+)?)[ \t]+(?:[{_UPPER}]\.[ \t]*)?((?:(?:van|von|de|del|della|di|da|le|la|al|el|bin|ben)[ \t]+)?(?:[OD]['’]|M[a]?c)?[{_UPPER}][{_LOWER}]+(?:[-'’][{_UPPER}][{_LOWER}]+)*)(?![\w@]|[.+_-]\w)")
 #: Titles by gender; a capitalised pair after one is a person's name.
 _TITLES = {"mr": "m", "mister": "m", "sir": "m", "herr": "m", "herrn": "m", "hr": "m", "señor": "m", "sr": "m", "don": "m", "monsieur": "m",
            "ms": "f", "mrs": "f", "miss": "f", "madam": "f", "frau": "f", "fr": "f", "señora": "f", "señorita": "f", "sra": "f", "srta": "f", "doña": "f", "madame": "f", "mme": "f", "mlle": "f",
@@ -223,18 +223,24 @@ _BEFORE = re.compile(r"([^\W\d_]+)\.?\s+$")
 
 def _pairs(text: str, names: Names, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
     """Persons outside of the list: a known given name, or any after a title, before a capitalised word."""
-    for m in _PAIR.finditer(text):
+    at = 0
+    while m := _PAIR.search(text, at):
         first, family = m[1], m[2]
-        if any(a < m.end() and m.start() < b for a, b in taken) or family.lower() in names.given or family.lower() in NO_GIVEN or names.is_family(family):
+        at = m.end()
+        if first.lower() in _TITLES:  # the name comes behind it
+            at = m.end(1)
             continue
-        before = _BEFORE.search(text[max(0, m.start() - 25) : m.start()])
+        given, low = _fold(first), first.lower()
+        known = low in names.given or given in _FEMALE or given in _MALE
+        space = text[m.start() - 1 : m.start()].isspace()
+        before = _BEFORE.search(text[max(0, m.start() - 25) : m.start()]) if space else None
         word = before[1].lower() if before else ""
-        if word in VESSELS:
+        if not known and (len(word) < 2 or word not in _TITLES) or word in VESSELS or low in NO_GIVEN or low in VESSELS:
             continue
-        given = _fold(first)
-        if word in _TITLES and len(word) > 1 and first.lower() not in NO_GIVEN or first.lower() in names.given or given in _FEMALE or given in _MALE:
-            if first.lower() not in NO_GIVEN and first.lower() not in VESSELS and not _place(family):
-                yield m.start(), m.end(), f"{given} {_fold(family)}"
+        if family.lower() in names.given or family.lower() in NO_GIVEN or _place(family) or names.is_family(family):
+            continue
+        if not any(a < m.end() and m.start() < b for a, b in taken):
+            yield m.start(), m.end(), f"{given} {_fold(family)}"
 
 
 def _place(word: str) -> bool:
@@ -249,6 +255,8 @@ def _titled(text: str, start: int) -> str:
 
 
 def _fold(text: str) -> str:
+    if text.isascii():
+        return text.lower()
     return "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
 
 
@@ -313,9 +321,12 @@ def mentions(text: str, names: Names) -> list[tuple[str, int, int, str, str]]:
             add("id_number", m.start(1), m.end(1), re.sub(r"\W", "", m[1]).upper())
     for m in _DIGITS.finditer(text):
         _number(text, m.start(), m.end(), add)
-    if any(k in low for k in _PHONE_LABELS):
-        for m in _PHONE_BY_LABEL.finditer(text):
-            add("phone", m.start(1), m.end(1), phone_number(m[1]))
+    for k in _PHONE_LABELS:
+        at = low.find(k)
+        while at >= 0:
+            if not (at and text[at - 1].isalnum()) and (m := _PHONE_BY_LABEL.match(text, at)):
+                add("phone", m.start(1), m.end(1), phone_number(m[1]))
+            at = low.find(k, at + len(k))
     for m in _ADDRESS_BY_NUMBER.finditer(text):
         add("address", m.start(), m.end(), " ".join(_fold(m[0]).split()))
     for pattern, anchors in _BY_STREET:

@@ -728,7 +728,10 @@ def check(docs: DataFrame, replaced: DataFrame, name_list: DataFrame, id_col: st
                         rows.append(("", "", "", False, True))
                         break
                     got = new[at:nxt]
-                    rows.append((m[0], m[3], re.sub(r"\W", "", _fold(got)), _fold(got) == _fold(old[m[1] : m[2]]), False))
+                    given, _, family = m[3].partition(" ")
+                    # Of a name written with an initial there is no telling which given name it stands for, before or after.
+                    who = f"{given[0]} {family}" if m[0] == "person" and re.search(r"(?<!\w)\w\.", got) else m[3]
+                    rows.append((m[0], who, re.sub(r"\W", "", _fold(got)), _fold(got) == _fold(old[m[1] : m[2]]), False))
                     at = nxt + len(segments[i + 1])
             yield pd.DataFrame(rows, columns=["kind", "canonical", "written", "kept", "edited"])
 

@@ -697,6 +697,16 @@ def replace(docs: DataFrame, name_list: DataFrame, key: str, style: str = "place
     return rows.join(per_text, "key", "left").select("id", "text", "spans").mapInPandas(rewrite, schema)
 
 
+def _end_of(text: str, at: int, following: str, surface: str) -> int:
+    """Where a replacement that begins at ``at`` ends: before ``following``, with as many blanks inside as its original if that can be; -1 if nowhere."""
+    blanks = sum(c.isspace() for c in surface)
+    ends, end = [], text.find(following, at + 1) if following else -1
+    while end >= 0 and sum(c.isspace() for c in text[at:end]) <= blanks:
+        ends.append(end)
+        end = text.find(following, end + 1)
+    return ends[-1] if ends else end
+
+
 def check(docs: DataFrame, replaced: DataFrame, name_list: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(documents, kept, merged, edited)``: what a replacement of documents with unique ids breaks, 0 if nothing.
 
@@ -723,7 +733,7 @@ def check(docs: DataFrame, replaced: DataFrame, name_list: DataFrame, id_col: st
                 at = len(segments[0])
                 for i, m in enumerate(found):
                     last = i + 1 == len(found)
-                    nxt = len(new) - len(segments[-1]) if last else new.find(segments[i + 1], at + 1) if segments[i + 1] else -1
+                    nxt = len(new) - len(segments[-1]) if last else _end_of(new, at, segments[i + 1], old[m[1] : m[2]])
                     if nxt < at:
                         rows.append(("", "", "", False, True))
                         break

@@ -517,9 +517,11 @@ def formatted(kind: str, surface: str, surrogate: str) -> str:
         if len(parts) == 2:
             called = parts[1].strip()
             return f"{_cased(family, parts[0].strip())}, {given[0] + '.' if len(called.rstrip('.')) == 1 else _cased(given, called)}"
-        first, *_, last = re.split(r"\s+", surface) if re.search(r"\s", surface) else surface.partition(".")[::2]
-        gap = re.search(r"\s+", surface)
-        return f"{given[0] + '.' if len(first.rstrip('.')) == 1 else _cased(given, first)}{gap[0] if gap else ''}{_cased(family, last)}"
+        # Given name or initial, middle initials, family name, with whatever blanks stand between.
+        pieces = re.split(r"(\s+)", surface) if re.search(r"\s", surface) else re.split(r"(?<=\.)()", surface, maxsplit=1)
+        first, last = pieces[0], pieces[-1]
+        middle = "".join(x if not x.strip() else f"{family[1].upper()}." if len(x.rstrip(".")) == 1 else _cased(family[1:].capitalize(), x) for x in pieces[1:-1])
+        return f"{given[0] + '.' if len(first.rstrip('.')) == 1 else _cased(given, first)}{middle}{_cased(family, last)}"
     if kind == "phone":  # codes and trunk digit stay: the number is what the digits end with
         number = surrogate.split(":")[1]
         skip = sum(c.isdigit() for c in surface) - len(number)
@@ -700,11 +702,10 @@ def replace(docs: DataFrame, name_list: DataFrame, key: str, style: str = "place
 def _end_of(text: str, at: int, following: str, surface: str) -> int:
     """Where a replacement that begins at ``at`` ends: before ``following``, with as many blanks inside as its original if that can be; -1 if nowhere."""
     blanks = sum(c.isspace() for c in surface)
-    ends, end = [], text.find(following, at + 1) if following else -1
-    while end >= 0 and sum(c.isspace() for c in text[at:end]) <= blanks:
-        ends.append(end)
+    first = end = text.find(following, at + 1) if following else -1
+    while end >= 0 and sum(c.isspace() for c in text[at:end]) < blanks:
         end = text.find(following, end + 1)
-    return ends[-1] if ends else end
+    return end if end >= 0 and sum(c.isspace() for c in text[at:end]) == blanks else first
 
 
 def check(docs: DataFrame, replaced: DataFrame, name_list: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

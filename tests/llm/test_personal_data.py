@@ -93,6 +93,7 @@ def test_formats():
     out = pd_.formatted("phone", "+1 (555) 678-0168", pd_.entity_surrogate("phone", canonical, b"k"))
     assert [c for c in out if not c.isdigit()] == list("+ () -") and out.startswith("+1 (") and out != "+1 (555) 678-0168"
     assert pd_.formatted("phone", "0044 1632 960807", "44:7000000001") == "0044 7000 000001"
+    assert pd_.formatted("person", "Emil B. Brevolane", "Arno Bacedi") == "Arno A. Bacedi"
     assert pd_.formatted("email", "A.B@X.ORG", "u1@mail2.example") == "U1@MAIL2.EXAMPLE"
     assert pd_.formatted("email", "a[at]b[dot]org", "u1@mail2.example") == "u1[at]mail2[dot]example"
     assert pd_.formatted("person", "BREVOLANE, Emil", "Arno Bacedi") == "BACEDI, Arno" and pd_.formatted("person", "E.\nBrevolane", "Arno Bacedi") == "A.\nBacedi"

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from granary.errors import RetrievalModeError
+from granary.session import materialize
 
 MODES = ("scored", "ordered", "complete_set")
 DEFAULT_DEPTH = 5
@@ -30,51 +33,66 @@ def depth(asked: int | None, configured: int | None = None) -> int:
     return k
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = 256) -> DataFrame:
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", query_bytes: int = 64 << 20) -> DataFrame:
     """``(query_id, rank, id, score)``: the ``k`` vectors of greatest cosine for each stated query, exactly.
 
-    Queries ``(query_id, vector)`` are taken in blocks of ``query_block``: each block is a set of
-    rows against which every vector is scored once, so the work is one pass per block and
-    the top k of each task is all that is shuffled. Ties go to the smaller id.
+    Queries ``(query_id, vector)`` are taken in blocks of at most ``query_bytes`` of numbers, which travel with one pass over the
+    vectors; no more than a block is ever on the driver beside its pass. A task keeps the best k per query over all its
+    rows, and only those are shuffled. Ties go to the smaller id.
     """
     import numpy as np
     import pandas as pd
 
-    kind = dict(vectors.dtypes)[id_col]
-    qkind = dict(queries.dtypes)["query_id"]
-    # Stated queries come from a caller; blocks bound what travels with one pass.
-    stream, blocks, block = queries.where("vector is not null").orderBy("query_id").toLocalIterator(), [], []
-    for row in stream:
-        block.append(row)
-        if len(block) == query_block:
-            blocks.append(block)
-            block = []
-    blocks += [block] if block else []
-    out = None
-    for rows in blocks:
-        ids = [r["query_id"] for r in rows]
-        raw = [np.asarray(r["vector"], np.float64) for r in rows]
-
-        def score(batches, ids=ids, raw=raw):
+    kind, qkind = dict(vectors.dtypes)[id_col], dict(queries.dtypes)["query_id"]
+    schema = f"query_id {qkind}, id {kind}, score double"
+    base = vectors.where(f"{vector_col} is not null").select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+
+    def scorer(rows: list):
+        sizes: dict[int, tuple[list, np.ndarray]] = {}
+        for n in {len(r["vector"]) for r in rows}:
+            these = [r for r in rows if len(r["vector"]) == n]
+            x = np.array([r["vector"] for r in these], np.float64).reshape(len(these), n)
+            norm = np.linalg.norm(x, axis=1, keepdims=True)
+            sizes[n] = [r["query_id"] for r in these], np.divide(x, norm, out=np.full_like(x, np.nan), where=norm > 0)
+
+        def score(batches):
+            best: dict[int, pd.DataFrame] = {}
             for b in batches:
-                v = [np.asarray(x, np.float64) for x in b["v"]]
-                parts = []
-                for q, x in zip(ids, raw):
-                    fit = [i for i, y in enumerate(v) if len(y) == len(x)]
-                    if not fit:
+                length = b["v"].map(len).to_numpy()
+                for n, (ids, x) in sizes.items():
+                    fit = b["id"][length == n].to_numpy()
+                    if not len(fit):
                         continue
-                    m = np.stack([v[i] for i in fit])
-                    norm = np.linalg.norm(m, axis=1) * np.linalg.norm(x)
-                    with np.errstate(invalid="ignore", divide="ignore"):
-                        s = np.where(norm > 0, m @ x / norm, np.nan)
-                    part = pd.DataFrame({"query_id": q, "id": b["id"].iloc[fit].to_numpy(), "score": s}).dropna()
-                    parts.append(part.sort_values(["score", "id"], ascending=[False, True]).head(k))
-                yield pd.concat(parts) if parts else pd.DataFrame(columns=["query_id", "id", "score"])
-
-        got = vectors.where(f"{vector_col} is not null").select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).mapInPandas(score, f"query_id {qkind}, id {kind}, score double")
-        out = got if out is None else out.unionByName(got)
-    if out is None:
-        return vectors.sparkSession.createDataFrame([], f"query_id {qkind}, rank int, id {kind}, score double")
+                    m = np.stack([np.asarray(v, np.float64) for v in b["v"][length == n]])
+                    norm = np.linalg.norm(m, axis=1, keepdims=True)
+                    m = np.divide(m, norm, out=np.full_like(m, np.nan), where=norm > 0)
+                    for at in range(0, len(ids), 256):  # scores of a block of queries at a time
+                        s = (m @ x[at : at + 256].T).T
+                        # All that reach the k-th score go on, equal ones too; the sort below decides by id.
+                        s = np.where(np.isnan(s), -np.inf, s)
+                        least = np.partition(s, -min(k, s.shape[1]), 1)[:, -min(k, s.shape[1])] - 1e-12
+                        q, i = np.nonzero((s >= least[:, None]) & np.isfinite(s))
+                        new = pd.DataFrame({"q": q + at, "id": fit[i], "score": s[q, i]})
+                        old = best.get((n, at))
+                        new = new if old is None else pd.concat([old, new])
+                        new["r"] = new["score"].round(12)
+                        best[n, at] = new.sort_values(["q", "r", "id"], ascending=[True, False, True]).groupby("q").head(k).drop(columns="r")
+            for (n, _), found in best.items():
+                ids = sizes[n][0]
+                yield pd.DataFrame({"query_id": [ids[q] for q in found["q"]], "id": found["id"], "score": found["score"]})
+
+        return score
+
+    parts, block, held = [], [], 0
+    for row in queries.where("vector is not null").select("query_id", "vector").toLocalIterator():
+        block.append(row)
+        held += 8 * len(row["vector"])
+        if held >= query_bytes:
+            parts.append(materialize(base.mapInPandas(scorer(block), schema), "topk"))
+            block, held = [], 0
+    if block or not parts:
+        parts.append(base.mapInPandas(scorer(block), schema))
+    out = reduce(DataFrame.unionByName, parts)
     place = Window.partitionBy("query_id").orderBy(F.round("score", 12).desc(), "id")
     return out.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 

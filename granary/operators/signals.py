@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import text as tx
 from granary.functions.prompts import json_object
+from granary.operators import ordered
 
 MAX_CHARS, MAX_WORDS = 180_000, 8
 #: What a labeller is asked.
@@ -23,12 +24,17 @@ def distinct_documents(chunks: DataFrame) -> DataFrame:
     """
     rows = chunks.where("text is not null").select("doc_id", "source_file", "doc_chunk_index", "chunk_id", "text", tx.digest(F.col("text")).alias("digest"))
     at = F.struct(F.coalesce("doc_chunk_index", F.lit(0)).alias("i"), "chunk_id", "digest", "text")
-    docs = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(at)).alias("c"), F.min("source_file").alias("source"))
-    key = F.sha2(F.array_join(F.transform("c", lambda x: x["digest"]), ","), 256)
-    docs = docs.withColumn("key", key).withColumn("rank", F.struct((~tx.human_source(F.col("source"))).alias("h"), "source", "doc_id"))
+    # What a document reads as is known by sums over its passages, each with its place: no text is gathered to compare documents.
+    place = ordered.around(rows).select("chunk_id", "position")
+    placed = rows.drop("text").join(place, "chunk_id")
+    mark = lambda seed: F.sum(F.shiftright(F.xxhash64(F.lit(seed), "position", "digest"), 24))
+    docs = placed.groupBy("doc_id").agg(F.struct(F.count("*"), mark(1), mark(2), mark(3)).alias("key"), F.min("source_file").alias("source"))
+    docs = docs.withColumn("rank", F.struct((~tx.human_source(F.col("source"))).alias("h"), "source", "doc_id"))
     ids = docs.groupBy("key").agg(F.min_by("doc_id", "rank").alias("primary"), F.array_sort(F.collect_set("doc_id")).alias("doc_ids"))
-    first = docs.select("doc_id", "key", F.transform("c", lambda x: x["chunk_id"]).alias("chunk_ids"), F.transform("c", lambda x: x["text"]).alias("texts"))
-    return ids.join(first, (ids["key"] == first["key"]) & (ids["primary"] == first["doc_id"])).select("primary", "doc_ids", "chunk_ids", "texts")
+    chosen = rows.join(ids.select(F.col("primary").alias("doc_id")), "doc_id", "left_semi")
+    first = chosen.groupBy("doc_id").agg(F.array_sort(F.collect_list(at)).alias("c"))
+    first = first.select("doc_id", F.transform("c", lambda x: x["chunk_id"]).alias("chunk_ids"), F.transform("c", lambda x: x["text"]).alias("texts"))
+    return ids.join(first, ids["primary"] == first["doc_id"]).select("primary", "doc_ids", "chunk_ids", "texts")
 
 
 def slices(texts: list[str], most: int = MAX_CHARS) -> list[tuple[int, int]]:

@@ -70,7 +70,7 @@ def test_topk_against_brute_force(spark):
     x = np.array([r[1] for r in rows[:200]])
     s = x / np.linalg.norm(x, axis=1, keepdims=True)
     got = {}
-    for r in retrieval.vector_topk(v, q, 5, query_block=3).orderBy("query_id", "rank").collect():
+    for r in retrieval.vector_topk(v, q, 5, query_bytes=1000).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.id)
     assert got == {i: np.argsort(-(s @ s[i]), kind="stable")[:5].tolist() for i in range(0, 200, 50)}
     assert retrieval.vector_topk(v, q.limit(0), 5).count() == 0 and retrieval.vector_topk(v.limit(0), q, 5).count() == 0

@@ -116,18 +116,18 @@ i AS (SELECT 'I' || substr(sha256(rep), 1, 15) AS group_id, chunk_id, resource_t
 
 @query(f"WITH {_GROUPS} SELECT group_id, count(*) AS size FROM i GROUP BY group_id")
 def group_sizes(spark, folder):
-    groups = _index(spark, folder).table("copy_groups").where("kind = 'identical'")
+    groups = _index(spark, folder, True).table("copy_groups").where("kind = 'identical'")
     return groups.groupBy("group_id").agg(F.count("*").alias("size"))
 
 
 @query(f"WITH {_GROUPS} SELECT group_id, chunk_id FROM i WHERE resource_type = 'passage'")
 def scoped_groups(spark, folder):
-    return _index(spark, folder).where({"resource_type": "passage"}).table("copy_groups").where("kind = 'identical'").select("group_id", "chunk_id")
+    return _index(spark, folder, True).where({"resource_type": "passage"}).table("copy_groups").where("kind = 'identical'").select("group_id", "chunk_id")
 
 
 @query(_INDEX + _GROUPS + ", s AS (SELECT group_id, count(*) AS size FROM i GROUP BY group_id) SELECT tok.chunk_id, size FROM tok LEFT JOIN i USING (chunk_id) LEFT JOIN s USING (group_id) WHERE list_contains(w, 'purge')")
 def copy_badges(spark, folder):
-    index = _index(spark, folder)
+    index = _index(spark, folder, True)
     own = F.filter("copies", lambda c: c["kind"] == "identical")
     return index.badges(index.search(all=["purge"]).hits).select("chunk_id", F.get(own, F.lit(0))["size"].alias("size"))
 
@@ -144,7 +144,7 @@ def _overlaps_with(ctes: str, select: str, recursive: str = "") -> str:
 @query(_overlaps_with("", "SELECT chunk_a, chunk_b FROM o WHERE chunk_a IN (SELECT rep FROM r WHERE resource_type = 'passage') AND chunk_b IN (SELECT rep FROM r WHERE resource_type = 'passage')"))
 def scoped_pairs(spark, folder):
     """Overlaps with a member of both sides in the scope."""
-    return _index(spark, folder).where({"resource_type": "passage"}).table("overlap_pairs").select("chunk_a", "chunk_b")
+    return _index(spark, folder, True).where({"resource_type": "passage"}).table("overlap_pairs").select("chunk_a", "chunk_b")
 
 
 _LINKED = """, l AS (SELECT chunk_a AS a, chunk_b AS b FROM o WHERE containment_larger >= 0.5 UNION SELECT chunk_b, chunk_a FROM o WHERE containment_larger >= 0.5),

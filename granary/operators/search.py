@@ -54,10 +54,10 @@ def index_rows(chunks: DataFrame) -> DataFrame:
     return ordered.carry(rows, F.try_element_at(F.col("headings.title"), F.lit(-1)), "heading_before")
 
 
-def build(chunks: DataFrame, path: str, core: str = "", width: int = cp.WIDTH) -> None:
+def build(chunks: DataFrame, path: str, core: str = "", width: int = cp.WIDTH, groups: bool = True) -> None:
     """Write the index tables under ``path``; the manifest comes last and makes them valid.
 
-    Postings are range-partitioned by token, so a search reads the files of its tokens only.
+    Without ``groups`` copy groups and overlaps are left out, which cost more than the rest. Postings are range-partitioned by token, so a search reads the files of its tokens only.
     """
     spark = chunks.sparkSession
     near = cp.near_table(chunks)
@@ -66,13 +66,13 @@ def build(chunks: DataFrame, path: str, core: str = "", width: int = cp.WIDTH) -
     posts = ps.postings(spark.read.parquet(f"{path}/chunks"))
     posts.repartitionByRange("token", "chunk_id").sortWithinPartitions("token", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
     ps.lengths(spark.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/sizes")
-    pairs = cp.overlap_pairs(near, width)
-    pairs.write.mode("overwrite").parquet(f"{path}/overlap_pairs")
-    pairs = spark.read.parquet(f"{path}/overlap_pairs")
-    groups = cp.identical_groups(chunks).unionByName(cp.near_groups(near)).unionByName(cp.overlap_groups(pairs, near))
-    groups.write.mode("overwrite").parquet(f"{path}/copy_groups")
+    if groups:
+        cp.overlap_pairs(near, width).write.mode("overwrite").parquet(f"{path}/overlap_pairs")
+        pairs = spark.read.parquet(f"{path}/overlap_pairs")
+        all_ = cp.identical_groups(chunks).unionByName(cp.near_groups(near)).unionByName(cp.overlap_groups(pairs, near))
+        all_.write.mode("overwrite").parquet(f"{path}/copy_groups")
     totals = spark.read.parquet(f"{path}/sizes").agg(F.count("*"), F.avg("size")).first()
-    manifest = {"format": 1, "core": core, "chunks": spark.read.parquet(f"{path}/chunks").count(), "sized": totals[0], "mean_size": totals[1]}
+    manifest = {"format": 1, "core": core, "tables": list(TABLES if groups else TABLES[:3]), "chunks": spark.read.parquet(f"{path}/chunks").count(), "sized": totals[0], "mean_size": totals[1]}
     spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
 
 
@@ -119,7 +119,7 @@ class SearchIndex:
             raise SearchIndexMissing(f"no search index under {path}") from e
         if manifest.get("format") != 1 or (core is not None and manifest["core"] != core):
             raise StaleSearchIndex(f"the index under {path} was built from other data")
-        tables = {t: spark.read.parquet(f"{path}/{t}") for t in TABLES}
+        tables = {t: spark.read.parquet(f"{path}/{t}") for t in manifest.get("tables", TABLES)}
         return cls(tables, manifest["chunks"], manifest["mean_size"] or 0.0, filters.validate(scope), manifest["core"])
 
     @classmethod
@@ -144,6 +144,8 @@ class SearchIndex:
 
     def table(self, name: str) -> DataFrame:
         """A table, restricted to the scope. Pairs need both representatives in it."""
+        if name not in self.tables:
+            raise SearchIndexError(f"the index has no {name}: it was built without groups")
         df = self.tables[name]
         if name == "chunks":
             return self.chunks

@@ -236,15 +236,15 @@ WITH tok AS (SELECT chunk_id, doc_id, content_module_id AS task_id, coalesce(jso
 """
 
 
-_built: dict[tuple[str, str], str] = {}
+_built: dict[tuple, str] = {}
 
 
-def _index(spark, folder) -> SearchIndex:
+def _index(spark, folder, groups: bool = False) -> SearchIndex:
     """The index of a folder's chunks: built once per application, below the shared folder, and opened by every query."""
-    key = spark.sparkContext.applicationId, folder
+    key = spark.sparkContext.applicationId, folder, groups
     if key not in _built:
         path = f"{shared_dir(spark)}/granary/search-{uuid.uuid4().hex}"
-        build(_chunks(spark, folder), path)
+        build(_chunks(spark, folder), path, groups=groups)
         _built[key] = path
     return SearchIndex.open(spark, _built[key])
 

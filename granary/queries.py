@@ -209,20 +209,18 @@ def overlap_pairs_of_eight(spark, folder):
     return copies.overlap_pairs(copies.near_table(_chunks(spark, folder)), width=8)
 
 
-@query("""
-WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, l_suppkey + 10000000 AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity = 50 AND l_discount = 0.1),
-u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r AS (SELECT a AS node, a AS root FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.node)
-SELECT node, min(root) AS root FROM r GROUP BY node""")
-def connected_components(spark, folder):
-    items, orders = read(spark, folder, "lineitem"), read(spark, folder, "orders")
-    edges = items.where("l_quantity = 50 and l_discount = 0.1").join(orders, F.col("o_orderkey") == F.col("l_orderkey"))
-    return copies.components(edges.select(F.col("o_custkey").alias("a"), (F.col("l_suppkey") + 10_000_000).alias("b")))
+def _least_labels(rounds: int) -> str:
+    """Every node takes the least label of its neighbourhood, ``rounds`` times: complete where no component is wider than that."""
+    step = "l{i} AS MATERIALIZED (SELECT node, min(root) AS root FROM (SELECT u.a AS node, l.root FROM u JOIN l{j} l ON u.b = l.node UNION ALL SELECT node, root FROM l{j}) GROUP BY node)"
+    steps = ", ".join(step.format(i=i, j=i - 1) for i in range(1, rounds + 1))
+    return f"""
+WITH e AS (SELECT DISTINCT o_custkey AS a, l_suppkey + 10000000 AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey), u AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
+l0 AS (SELECT DISTINCT a AS node, a AS root FROM u), {steps} SELECT node, root FROM l{rounds}"""
 
 
-@query()
-def connected_components_whole(spark, folder):
-    """Components of the graph of all order lines; the recursive SQL is too slow for it."""
+@query(_least_labels(8))
+def connected_components(spark, folder):
+    """Components of the graph of customers and suppliers, over all order lines."""
     items, orders = read(spark, folder, "lineitem"), read(spark, folder, "orders")
     edges = items.join(orders, F.col("o_orderkey") == F.col("l_orderkey"))
     return copies.components(edges.select(F.col("o_custkey").alias("a"), (F.col("l_suppkey") + 10_000_000).alias("b")))

@@ -439,7 +439,7 @@ def book_threads(spark, folder):
 
 @query()
 def book_lookup(spark, folder):
-    return book.BookIndex(_chunks(spark, folder)).lookup("seal")
+    return book.BookIndex(_chunks(spark, folder)).lookup("abschnitt")
 
 
 # Vectors and results ---------------------------------------------------------------------

@@ -25,5 +25,5 @@ def test_all_order_lines_are_edges(spark, tmp_path):
     spark.createDataFrame(items, "l_orderkey long, l_suppkey long, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
     customer = dict(orders)
     want = brute([(customer[o], s + 10_000_000) for o, s, _, _ in items])
-    got = {r.node: r.root for r in queries.connected_components_whole(spark, str(tmp_path)).collect()}
+    got = {r.node: r.root for r in queries.connected_components(spark, str(tmp_path)).collect()}
     assert got == want and len(set(want.values())) > 1

@@ -312,8 +312,8 @@ def mentions(text: str, names: Names) -> list[tuple[str, int, int, str, str]]:
         while at >= 0:
             edge = min(len(text), at + 90)
             for m in _ID_BY_LABEL.finditer(text, max(0, at - 25), edge):
-                # A number at the edge of the window may go on behind it.
-                if any(c.isdigit() for c in m[1]) and (m.end() < edge or edge == len(text)):
+                # A number near the edge of the window may go on behind it; its own label opens another window.
+                if any(c.isdigit() for c in m[1]) and (m.end() + 8 < edge or edge == len(text)):
                     add("id_number", m.start(1), m.end(1), re.sub(r"\W", "", m[1]).upper())
             at = low.find(k, at + len(k))
     if text.count(";") > 1:

@@ -89,6 +89,46 @@ def check(spark: SparkSession, statement: str) -> str:
     return text
 
 
+def _single(spark: SparkSession, join):
+    """A join that allows one match per row, planned by its keys; ``join`` itself if Spark would not compare all pairs, or has to.
+
+    Spark has no sort-merge join that counts matches: where the subquery is too large to broadcast, it compares every
+    pair of rows. A subquery with one row per key cannot match twice, so its join is a plain outer one; others are
+    hashed by their keys, and still raise where a row matches twice.
+    """
+    keys = spark._jvm.org.apache.spark.sql.catalyst.planning.ExtractEquiJoinKeys.unapply(join)
+    if keys.isEmpty():
+        return join
+    on, right = _listed(keys.get()._3()), join.right()
+    catalyst = spark._jvm.org.apache.spark.sql.catalyst
+    if any(all(any(k.semanticEquals(x) for x in on) for k in _listed(unique)) for unique in _listed(right.distinctKeys())):
+        return join.copy(join.left(), right, catalyst.plans.JoinType.apply("leftouter"), join.condition(), join.hint())
+    conf = spark._jsparkSession.sessionState().conf()
+    if join.hint().rightHint().isDefined() or right.stats().sizeInBytes() <= conf.autoBroadcastJoinThreshold():
+        return join
+    some = spark._jvm.scala.Option.apply
+    hashed = catalyst.plans.logical.HintInfo(some(getattr(getattr(catalyst.plans.logical, "SHUFFLE_HASH$"), "MODULE$")))
+    return join.copy(join.left(), right, join.joinType(), join.condition(), catalyst.plans.logical.JoinHint(join.hint().leftHint(), some(hashed)))
+
+
+def _listed(scala) -> list:
+    out, it = [], scala.iterator()
+    while it.hasNext():
+        out.append(it.next())
+    return out
+
+
+def _by_keys(spark: SparkSession, node):
+    """The plan with joins of correlated scalar subqueries as :func:`_single` has them; ``node`` itself where nothing changes."""
+    before = _listed(node.children())
+    after = [_by_keys(spark, c) for c in before]
+    if any(a is not b for a, b in zip(after, before)):
+        node = node.withNewChildren(spark._jvm.PythonUtils.toSeq(after))
+    if node.getClass().getSimpleName() == "Join" and node.joinType().sql() == "LEFT SINGLE":
+        return _single(spark, node)
+    return node
+
+
 #: Literals and comments are skipped; what is left of MATCH('...') is a table.
 _MATCH = re.compile(r"""\bMATCH\s*\(\s*'(?P<match>(?:[^']|'')*)'\s*\)|'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/""", re.I | re.S)
 _ITEM = re.compile(r"""NEAR\s*\(\s*(?P<near>[^,()]+?)\s*,\s*(?P<by>\d+)\s*\)|(?P<not>-|NOT\s+)?(?:"(?P<phrase>[^"]*)"|(?P<word>[^\s"()]+))""")
@@ -142,8 +182,10 @@ class SqlSurface:
 
     def _add(self, name: str, df: DataFrame) -> None:
         # The same plan, seen from the session that holds nothing else.
-        jdf = self.session._jvm.org.apache.spark.sql.classic.Dataset.ofRows(self.session._jsparkSession, df._jdf.queryExecution().analyzed())
-        DataFrame(jdf, self.session).createOrReplaceTempView(name)
+        self._of(df._jdf.queryExecution().analyzed()).createOrReplaceTempView(name)
+
+    def _of(self, plan) -> DataFrame:
+        return DataFrame(self.session._jvm.org.apache.spark.sql.classic.Dataset.ofRows(self.session._jsparkSession, plan), self.session)
 
     def _with_matches(self, statement: str) -> str:
         """The statement with every ``MATCH('...')`` outside of literals and comments made the name of a table of what matches."""
@@ -164,7 +206,13 @@ class SqlSurface:
 
     def frame(self, statement: str) -> DataFrame:
         """The statement's result as a DataFrame, all rows."""
-        return self.session.sql(check(self.session, self._with_matches(statement)))
+        df = self.session.sql(check(self.session, self._with_matches(statement)))
+        patterns = self.session._jvm.org.apache.spark.sql.catalyst.trees.TreePattern
+        if not df._jdf.queryExecution().analyzed().containsPattern(patterns.SCALAR_SUBQUERY()):
+            return df
+        plan = df._jdf.queryExecution().optimizedPlan()
+        planned = _by_keys(self.session, plan)
+        return df if planned is plan else self._of(planned).toDF(*df.columns)
 
     def run(self, statement: str, limit: int | None = None, seconds: float = SECONDS, shorten: bool = True) -> SqlResult:
         """At most ``limit`` rows (500 without one, also an upper bound) within ``seconds``; with ``shorten`` long cells are shortened and binary ones described.

@@ -54,13 +54,50 @@ def length_classes(capacity: int, ratio: float = CLASS_RATIO) -> np.ndarray:
     return np.array([*bounds, capacity])
 
 
-def price(values: np.ndarray, sizes: np.ndarray, available: np.ndarray, capacity: int, classes: np.ndarray) -> dict[int, int]:
-    """The configuration of greatest value made of ``classes``: a knapsack dynamic program, copies by powers of two."""
+def contenders(values: np.ndarray, sizes: np.ndarray, available: np.ndarray, capacity: int, classes: np.ndarray, known: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """The classes that can be in a configuration worth more than one that is easy to find or of value ``known``, and how many of each.
+
+    Items in the order of value per length, the last cut to fit, bound what any configuration is worth. An item of a class below
+    that cut lowers the bound by what it is worth less than the cut at its length. Where the bound falls below what is reached by copies of one class and
+    one item beside them, by the items that fit in that order, or by ``known``, no such configuration is the best.
+    """
+    most = np.minimum(capacity // sizes[classes], available[classes])
+    classes, most = classes[most > 0], most[most > 0]
+    v, s = values[classes], sizes[classes]
+    worth = v / s
+    order = np.argsort(-worth, kind="stable")
+    filled = np.cumsum((most * s)[order])
+    if not len(filled) or filled[-1] <= capacity:
+        return classes, most
+    k = int(np.searchsorted(filled, capacity))
+    last, room = order[k], capacity - (int(filled[k - 1]) if k else 0)
+    lower = max(known, float((most * v)[order[:k]].sum() + room // s[last] * v[last]))
+    # The most valuable single item by the room for it.
+    by_size = np.argsort(s, kind="stable")
+    top = np.maximum.accumulate(v[by_size])
+    which = by_size[np.maximum.accumulate(np.where(v[by_size] == top, np.arange(len(top)), 0))]
+    for copies in (np.minimum(most, 1), np.minimum(most, 2), most):
+        at = np.searchsorted(s[by_size], capacity - copies * s, "right") - 1
+        beside = (at >= 0) & ~((which[at] == np.arange(len(s))) & (copies == most))
+        lower = max(lower, float((copies * v + np.where(beside, top[at], 0)).max()))
+    gain = v - worth[last] * s
+    upper = worth[last] * capacity + float((most * np.maximum(gain, 0)).sum())
+    with np.errstate(divide="ignore"):
+        most = np.where(gain < 0, np.minimum(most, (upper - lower + 1e-6 * upper) / -gain), most).astype(np.int64)
+    return classes[most > 0], most[most > 0]
+
+
+def price(values: np.ndarray, sizes: np.ndarray, available: np.ndarray, capacity: int, classes: np.ndarray, known: float = 0.0) -> dict[int, int]:
+    """The configuration of greatest value made of ``classes``: a knapsack dynamic program over its :func:`contenders`, copies by powers of two. ``known``: the value of one that is known.
+
+    At most two items over a third of the capacity fit. Each one and two of them are tried with the best of the shorter ones in the rest of the room.
+    """
+    classes, most_ = contenders(values, sizes, available, capacity, classes, known)
+    large = 3 * sizes[classes] > capacity
     best, room_ = np.zeros(capacity + 1, np.float32), np.empty(capacity + 1, np.float32)
     steps: list[tuple[int, int, int, np.ndarray]] = []
-    for j in classes.tolist():
+    for j, most in zip(classes[~large].tolist(), most_[~large].tolist()):
         size, copies = int(sizes[j]), 1
-        most = min(capacity // size, int(available[j]))
         while most > 0:
             take = min(copies, most)
             weight = size * take
@@ -70,7 +107,23 @@ def price(values: np.ndarray, sizes: np.ndarray, available: np.ndarray, capacity
             most -= take
             copies *= 2
     counts: dict[int, int] = {}
-    room = capacity
+    room, reached = capacity, float(best[-1])
+    if large.any():
+        long, s, v = classes[large], sizes[classes[large]], values[classes[large]]
+        one = v + best[capacity - s]
+        if one.max() > reached:
+            reached, counts = float(one.max()), {int(long[one.argmax()]): 1}
+        half = np.flatnonzero(2 * s <= capacity)
+        if len(half):
+            rest = capacity - s[half][:, None] - s
+            fits = rest >= 0
+            fits[np.arange(len(half)), half] &= most_[large][half] > 1
+            two = np.where(fits, v[half][:, None] + v + best[np.maximum(rest, 0)], -1)
+            i, j = divmod(int(two.argmax()), len(s))
+            if two[i, j] > reached:
+                counts = {int(long[half[i]]): 1}
+                counts[int(long[j])] = counts.get(int(long[j]), 0) + 1
+        room -= sum(int(sizes[j]) * n for j, n in counts.items())
     for j, take, weight, better in reversed(steps):
         if room >= weight and better[room - weight]:
             counts[j] = counts.get(j, 0) + take
@@ -98,9 +151,10 @@ def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, step: float, rat
         order = open_[np.lexsort((-sizes[open_], covered[open_]))]
         since += 1
         aim = 0.999 * capacity if since > probe else aim
-        width = partial
+        width, known = partial, 0.0
         while True:
-            config = price(values, sizes, left, capacity, np.union1d(order[:width], open_[: partial // 4]) if width < len(order) else open_)
+            config = price(values, sizes, left, capacity, np.union1d(order[:width], open_[: partial // 4]) if width < len(order) else open_, known)
+            known = sum(values[j] * n for j, n in config.items())
             fill = sum(int(sizes[j]) * n for j, n in config.items())
             if fill >= aim:
                 break
